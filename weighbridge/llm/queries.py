@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .simhash import op1_simhash
+from .token_files import op3_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_token_files": op3_token_files,
+    "op4_bpe": op4_bpe,
 }
 
 ORACLES: dict[str, str] = {}

@@ -11,7 +11,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null id inside Python, where a null would turn all ids of a batch into floats.
+NO_ID = -(2**63)
+
+
+def id_in(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def id_out(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -120,9 +120,9 @@ def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
     for another.  Only ids are read for that; the texts are shuffled once.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
     # a document's place: descending doc_id, null last, equal ids by text, equal rows in any order
-    key = F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1))
+    key = F.when(F.col("doc_id") == scratch.NO_ID, F.lit(2**63 - 1)).otherwise(-F.col("doc_id"))
     ids = docs.select(key.alias("key"))
     n = ids.count()
     if not n:
@@ -196,9 +196,9 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = B
     first = scratch.written(with_edits(docs), "simhash")
     text = lambda hi, lo: F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
     return with_links(first, radius, blocks).select(
-        "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        scratch.id_out("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
         text("hi", "lo").alias("fingerprint"), text("edited_hi", "edited_lo").alias("edited_fingerprint"),
-        "near_edited", "near_next", "class_id", "class_size", "n_links")
+        "near_edited", "near_next", scratch.id_out("class_id"), "class_size", "n_links")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
