@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .lattice import op2_lattice
 from .simhash import op1_simhash
 from .token_files import op3_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lattice": op2_lattice,
     "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
 }
