@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .lattice import op2_lattice
+from .order_minhash import op5_order_minhash
 from .simhash import op1_simhash
 from .token_files import op3_token_files
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_lattice": op2_lattice,
     "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
+    "op5_order_minhash": op5_order_minhash,
 }
 
 ORACLES: dict[str, str] = {}
