@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .langid import op6_language
 from .lattice import op2_lattice
 from .order_minhash import op5_order_minhash
+from .quality import op9_quality
 from .simhash import op1_simhash
 from .token_files import op3_token_files
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
+    "op6_language": op6_language,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
