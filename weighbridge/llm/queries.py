@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .langid import op6_language
 from .lattice import op2_lattice
 from .order_minhash import op5_order_minhash
+from .pii import op8_pii
 from .quality import op9_quality
 from .simhash import op1_simhash
 from .token_files import op3_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op6_language": op6_language,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
 
