@@ -5,7 +5,10 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .langid import op6_language
 from .lattice import op2_lattice
+from .licenses import op10_licenses
+from .licenses import oracle as op10_oracle
 from .order_minhash import op5_order_minhash
+from .packing import op7_packing
 from .pii import op8_pii
 from .quality import op9_quality
 from .simhash import op1_simhash
@@ -18,8 +21,12 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op6_language": op6_language,
+    "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_licenses": op10_oracle(),
+}
