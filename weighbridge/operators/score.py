@@ -95,7 +95,7 @@ def long_rows(scored: DataFrame, run_values: DataFrame, keys: list[str], holdout
     budget = run_values.select(*keys, F.col("n_selected").cast("long").alias("budget_achieved")) if "n_selected" in metrics else None
     out = a.unionByName(b).where("value is not null")
     out = out.join(budget, keys, "left") if budget is not None else out.withColumn("budget_achieved", F.lit(None).cast("long"))
-    return out.withColumns({"holdout_type": F.lit(holdout_type), "fold": F.lit(fold)}).select(*columns)
+    return out.withColumns({"holdout_type": F.lit(holdout_type), "fold": F.lit(fold), "budget_requested": F.col("budget_requested").cast("long")}).select(*columns)
 
 
 def diagnostic_rows(diagnostics: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def merged_facts(base: DataFrame, suite: DataFrame, key: str = "aggregate_fact_k
 def latest_vintage(facts: DataFrame, identity: list[str], period: int, vintage: str = "vintage") -> DataFrame:
     """The latest row of each identity whose vintage is not after the period."""
     others = [c for c in facts.columns if c not in identity]
-    best = facts.where(F.col(vintage) <= period).groupBy(*identity).agg(F.max(F.struct(F.col(vintage).alias("__v"), *others)).alias("__row"))
+    best = facts.where(F.col(vintage) <= period).groupBy(*identity).agg(F.max_by(F.struct(*others), F.col(vintage)).alias("__row"))
     return best.select(*identity, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*facts.columns)
 
 

@@ -59,6 +59,14 @@ SELECT r.method, r.l2_lambda, r.seed, r.budget_requested,
        greatest(abs(t.value), CAST(1 AS DOUBLE)) AS scale, sqrt(greatest(abs(t.value), CAST(1 AS DOUBLE))) AS loss_weight,
        abs(t.value) < t.identifiability_floor AS is_degenerate
 FROM fx_run r CROSS JOIN fx_target t""",
+    # what a run reports of itself
+    "fx_runvalue": """
+SELECT method, seed, budget_requested, l2_lambda, CAST(budget_requested - 10 * seed AS BIGINT) AS n_selected,
+       CAST(budget_requested - 10 * seed AS DOUBLE) AS budget_achieved,
+       budget_requested * (CAST(0.5 AS DOUBLE) + amp) * (1 - l2_lambda * 100) + seed AS ess,
+       CAST(900000 AS DOUBLE) / (1 + l2_lambda * 10000) + 1000 * seed + amp AS max_weight,
+       amp * 1000 + seed + budget_requested / CAST(1000 AS DOUBLE) AS runtime_s
+FROM fx_run""",
     # one weight vector for each run of seeds 0 and 1 with the first two budgets and no l2 term
     "fx_weight": """
 SELECT k.method, k.seed, k.budget_requested, k.record_id, k.weight FROM (
