@@ -115,12 +115,18 @@ def _matrix(values) -> np.ndarray:
 def _cosine(frames):
     """Pairs with their vectors -> pairs with their cosine."""
     for frame in frames:
-        if len(frame):
-            out = np.zeros(len(frame))
-            for lo in range(0, len(frame), 4096):
-                x, y = _matrix(frame["x"].iloc[lo : lo + 4096]), _matrix(frame["y"].iloc[lo : lo + 4096])
-                out[lo : lo + 4096] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "cosine": out})
+        for _, part in frame.groupby(frame["x"].map(len), sort=False):  # pairs of one length at a time
+            for lo in range(0, len(part), 4096):
+                some = part.iloc[lo : lo + 4096]
+                x, y = _safe(_matrix(some["x"])), _safe(_matrix(some["y"]))
+                value = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
+                yield pd.DataFrame({"a": some["a"].to_numpy(), "b": some["b"].to_numpy(), "cosine": value})
+
+
+def _safe(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles are scaled; all others stay as they are."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return np.where((most > 1e100) | (most < 1e-100), x / most, x)
 
 
 def _bound(angle: float) -> int:

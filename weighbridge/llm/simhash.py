@@ -129,7 +129,7 @@ def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
         return spark.createDataFrame([], _PASS)
     parts = max(2, min(20_000, max(n // rows_per_part, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     cuts = sorted(set(ids.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    cuts = [int(c) for c in cuts]
+    cuts = [min(int(c), 2**63 - 1) for c in cuts]
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
