@@ -188,9 +188,10 @@ def _step(block: Block, state: State, slope: np.ndarray, total: np.ndarray | Non
     state.theta = _adam(state.theta, np.where(np.isfinite(gt), gt, 0.0) * 1.0, state.m, state.v, epoch + 1, options.rate)
     for k in soft:
         state.theta[:, k] = before[:, k]
-        g1 = g[:, k] * block.w0
-        move = _adam(state.weight[:, k] / block.w0, g1, state.m[:, k], state.v[:, k], epoch + 1, options.rate)
-        state.weight[:, k] = np.maximum(move - options.rate * configs[k].l1, 0.0) * block.w0
+        # plain steps, so that a record's pull keeps its size; n brings the pull of a mean to that of one record
+        rate = options.rate / math.sqrt(1 + epoch)
+        move = state.weight[:, k] / block.w0 - rate * n * g[:, k] * block.w0
+        state.weight[:, k] = np.maximum(move - rate * configs[k].l1, 0.0) * block.w0
     state.gate = _adam(state.gate, gg, state.gm, state.gv, epoch + 1, options.rate)
     for k, c in enumerate(configs):
         if c.weight_ratio is not None:
