@@ -7,7 +7,7 @@ but a count and a checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -36,9 +36,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Columns node and component (the least node that is reachable), for each node that has a link."""
     links = scratch.written(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "links")
     mark = None
-    for _ in range(most_rounds):
-        after = scratch.written(_star(_star(links, True), False), "links")
-        now = after.select(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(a, b) as decimal(20)))")).first()
+    for k in range(most_rounds):
+        seen = Observation(f"links-{k}")
+        h = F.xxhash64("a", "b")
+        after = _star(_star(links, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+        after = scratch.written(after, "links")
+        now = tuple(seen.get.values())
         scratch.drop(links)
         links = after
         if now == mark:
@@ -46,4 +49,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    ends = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)

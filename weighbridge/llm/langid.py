@@ -126,16 +126,17 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 120) -> Mo
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from ``text`` and ``lang`` of documents outside of the held-out fold."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    found = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ids = [i for k, lang in enumerate(sorted(found)) for i in bounded_sample(known.where(F.col("lang") == lang).select("doc_id"), per_language, k)]
+    known = docs.where(F.col("lang").isNotNull() & ~held_out())
+    ids_of = known.select("doc_id", "lang")  # the texts are read for the sample alone
+    found = [r["lang"] for r in ids_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    ids = [i for k, lang in enumerate(sorted(found)) for i in bounded_sample(ids_of.where(F.col("lang") == lang), per_language, k)]
     if not ids:
         return fit([])
 
     def features(frames):
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"]):
-                if _LETTER.search(text):
+                if text is not None and _LETTER.search(text):
                     parts = pieces(text)
                     slots, first = trigrams(parts)
                     for a, b in zip(first[:-1], first[1:]):

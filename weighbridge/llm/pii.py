@@ -276,13 +276,13 @@ def _made_up(rng: random.Random, text: str) -> tuple[str, str, int, int, int]:
 
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, seed: int = 8) -> Model:
     """Learns from the contexts of a bounded sample of documents."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ids = bounded_sample(docs.select("doc_id"), sample, 5)
 
     def learn(frames):
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for doc, text in zip(frame["doc_id"], frame["text"].fillna("")):
                 rng = random.Random(seed * 1_000_003 + int(doc))
                 # format checks mark what the documents themselves hold
                 base = base_spans(text)
