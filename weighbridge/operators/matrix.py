@@ -15,20 +15,18 @@ def constraint_matrix(universe: Universe, targets: DataFrame) -> DataFrame:
     columns by itself, on measure and values at once, so that a row meets only the
     targets that it belongs to.  Zeros are dropped.
     """
-    kinds = targets.select("entity", F.array_sort(F.map_keys("filter")).alias("keys")).distinct().collect()  # a row for each shape of filter
+    shapes = targets.select("entity", F.array_sort(F.map_keys("filter")).alias("keys"), "measure").distinct().collect()  # a row for each shape of target
     parts = []
-    for entity in sorted({r["entity"] for r in kinds}):
+    for entity, keys in sorted({(r["entity"], tuple(r["keys"])) for r in shapes}):
         table = universe.tables[entity]
-        own = targets.where(F.col("entity") == entity)
-        measures = [r["measure"] for r in own.select("measure").distinct().collect() if r["measure"] in table.columns]
+        measures = sorted(r["measure"] for r in shapes if (r["entity"], tuple(r["keys"])) == (entity, keys) and r["measure"] in table.columns)
         if not measures:
             continue
-        for keys in sorted(r["keys"] for r in kinds if r["entity"] == entity):
-            shaped = own.where(F.array_sort(F.map_keys("filter")) == F.array(*[F.lit(k) for k in keys]).cast("array<string>"))
-            shaped = shaped.select("target_name", "measure", *[F.col("filter")[k].alias(f"__{k}") for k in keys])
-            values = table.select("record_id", *[F.col(k).cast("string").alias(f"__{k}") for k in keys], *[F.col(m).cast("double").alias(m) for m in measures])
-            long = values.unpivot(["record_id", *[f"__{k}" for k in keys]], measures, "measure", "value").where("value <> 0")
-            parts.append(long.join(shaped, ["measure", *[f"__{k}" for k in keys]]).select("target_name", "record_id", "value"))
+        same_keys = F.array_sort(F.map_keys("filter")) == F.array(*[F.lit(k) for k in keys]).cast("array<string>")
+        shaped = targets.where((F.col("entity") == entity) & same_keys).select("target_name", "measure", *[F.col("filter")[k].alias(f"__{k}") for k in keys])
+        values = table.select("record_id", *[F.col(k).cast("string").alias(f"__{k}") for k in keys], *[F.col(m).cast("double").alias(m) for m in measures])
+        long = values.unpivot(["record_id", *[f"__{k}" for k in keys]], measures, "measure", "value").where("value <> 0")
+        parts.append(long.join(shaped, ["measure", *[f"__{k}" for k in keys]]).select("target_name", "record_id", "value"))
     if not parts:
         return targets.sparkSession.createDataFrame([], "target_name string, record_id long, value double")
     out = parts[0]

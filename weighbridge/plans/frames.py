@@ -52,7 +52,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.constraint_matrix(universe(spark, sf_dir), targets(spark, sf_dir))
+    """The target matrix, written once."""
+    return kept(matrix.constraint_matrix(universe(spark, sf_dir), targets(spark, sf_dir)), "matrix")
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long metric rows of the run grid."""
-    return score.long_rows(scores(spark, sf_dir), table(spark, sf_dir, "fx_runvalue"), RUN, "fixed_family", -1)
+    """Long metric rows of the run grid, written once for all the summaries that a query makes of them."""
+    return kept(score.long_rows(scores(spark, sf_dir), table(spark, sf_dir, "fx_runvalue"), RUN, "fixed_family", -1), "metrics")
 
 
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -600,8 +600,7 @@ def _problem(spark, sf, options):
     """Fit targets of the fixture, their matrix and start weights, written once for all fits of a query."""
     t = frames.targets(spark, sf).where(F.col("family").isin(*FITTED))
     t = spark.createDataFrame(t.collect(), t.schema)
-    m = matrix.constraint_matrix(frames.universe(spark, sf), t)
-    m = frames.kept(m, "matrix")
+    m = frames.kept(matrix.constraint_matrix(frames.universe(spark, sf), t), "matrix")
     w = table(spark, sf, "fx_record").select("record_id", "w0")
     return m, w, t, K.Problem.build(m, w, t, None, options.partitions)
 
