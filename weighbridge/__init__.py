@@ -1,0 +1 @@
+"""Weight calibration, dataset reduction and their reports on Spark."""

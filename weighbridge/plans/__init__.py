@@ -1,0 +1 @@
+"""Whole jobs and registered queries."""

@@ -1,0 +1 @@
+"""Schemas, readers, writers and fixtures."""

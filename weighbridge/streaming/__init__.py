@@ -1,0 +1 @@
+"""Nothing streams here: results are appended to batch tables (see operators.runs)."""
