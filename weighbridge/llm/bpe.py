@@ -231,7 +231,7 @@ def digest_documents(docs: DataFrame, tokens: list[bytes]) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
+    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 120) -> Mo
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from ``text`` and ``lang`` of documents outside of the held-out fold."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = scratch.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(F.col("lang").isNotNull() & ~held_out())
     ids_of = known.select("doc_id", "lang")  # the texts are read for the sample alone
     found = [r["lang"] for r in ids_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores, doubt = shared.value.predict(frame["text"].fillna("").tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": names, "score": scores, "ambiguous": doubt})
 
-    made = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    made = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return made.withColumn("doc_id", scratch.id_out("doc_id")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
@@ -170,7 +170,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         names, _, doubt = shared.value.predict(text.fillna("").tolist())
         return pd.Series([n != "und" and not d for n, d in zip(names, doubt)])
 
-    return docs.where(clear(F.col("text").cast("string")))
+    return scratch.text_batches(docs).where(clear(F.col("text").cast("string")))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

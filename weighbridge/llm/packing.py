@@ -37,7 +37,7 @@ def token_lengths(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             sizes = [np.diff(cache(texts[part])[1]) + 1 for part in slices(texts)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.concatenate(sizes) if sizes else np.zeros(0, np.int64)})
 
-    return docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long")
+    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long")
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

@@ -276,7 +276,7 @@ def _made_up(rng: random.Random, text: str) -> tuple[str, str, int, int, int]:
 
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, seed: int = 8) -> Model:
     """Learns from the contexts of a bounded sample of documents."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = scratch.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     ids = bounded_sample(docs.select("doc_id"), sample, 5)
 
     def learn(frames):
@@ -339,7 +339,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    made = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+    made = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return made.withColumn("doc_id", scratch.id_out("doc_id"))
 
@@ -362,7 +362,7 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
     def clean(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else redact_text(t, shared.value.spans(t)[1]))
 
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    out = scratch.text_batches(docs).withColumn("text", clean(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

@@ -153,7 +153,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, labelled: int = LABELLED) -> Model:
     """Learns from documents outside of the held-out fold."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
+    docs = scratch.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null")
     marks = docs.select("doc_id").join(marks.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     good, free = bounded_sample(marks.where("quality = 1"), positives, 1), bounded_sample(docs, unlabelled, 2)
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": shared.value.score(frame["text"].fillna("").tolist())})
 
-    made = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    made = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
     return made.withColumn("doc_id", scratch.id_out("doc_id")).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -204,7 +204,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(text.fillna("").tolist()))
 
-    return docs.where(score(F.col("text").cast("string")) >= THRESHOLD)
+    return scratch.text_batches(docs).where(score(F.col("text").cast("string")) >= THRESHOLD)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame, of which Python workers then get this many rows at once: texts are long, and Spark's default is 10,000 rows.
+
+    A number that the session has chosen for itself stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -120,7 +120,7 @@ def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
     for another.  Only ids are read for that; the texts are shuffled once.
     """
     spark = docs.sparkSession
-    docs = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
     # a document's place: descending doc_id, null last, equal ids by text, equal rows in any order
     key = F.when(F.col("doc_id") == scratch.NO_ID, F.lit(2**63 - 1)).otherwise(-F.col("doc_id"))
     ids = docs.select(key.alias("key"))

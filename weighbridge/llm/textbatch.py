@@ -118,11 +118,14 @@ def char_classes() -> np.ndarray:
     if _CLASS is None:
         import regex
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         _CLASS = np.zeros(0x110000, np.uint8)
-        for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"[\p{White_Space}]")):
-            hits = regex.findall(pattern, every)
-            _CLASS[np.frombuffer("".join(hits).encode("utf-32-le"), np.uint32)] = kind
+        kinds = [(kind, regex.compile(pattern)) for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\p{White_Space}"))]
+        for lo in range(0, 0x110000, 0x1000):  # in blocks, which leave no large garbage behind
+            block = "".join(map(chr, range(lo, lo + 0x1000)))
+            for kind, pattern in kinds:
+                hits = pattern.findall(block)
+                if hits:
+                    _CLASS[np.frombuffer("".join(hits).encode("utf-32-le"), np.uint32)] = kind
     return _CLASS
 
 

@@ -108,7 +108,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                     counts.append(b - a + 1)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.array(counts, np.int64), "ids": blobs})
 
-    return docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _ids(blobs) -> list[np.ndarray]:
