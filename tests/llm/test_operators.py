@@ -185,6 +185,21 @@ def test_near_documents(spark, docs, empty):
     assert order_minhash.near_documents(empty).count() == 0 and order_minhash.one_of_each(empty).count() == 0
 
 
+def test_near_documents_without_or_with_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(60, rng) for _ in range(6))
+    near = a.split()
+    near[5] = "changed"
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, a), (6, b), (7, d), (7, e), (7, e), (8, d), (None, f), (None, None), (9, " ".join(near))]
+    df = spark.createDataFrame([(i, t, "x%d" % k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, tag string")
+    got = order_minhash.near_documents(df).collect()
+    assert len(got) == len(set(rows)) and sum(r.kept for r in got) == 7
+    assert {r.doc_id: (r.class_id, r.group_id, r.kept) for r in got if r.doc_id in (5, 6, 8, 9)} == {5: (5, 5, True), 6: (6, 6, True), 8: (7, 7, False), 9: (9, 5, False)}
+    kept = order_minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in [(5, a), (6, b), (None, c), (7, d), (7, e), (None, f), (None, None)])
+
+
 def test_near_documents_against_all_pairs(spark):
     rng = random.Random(5)
     texts = [prose(rng.randint(20, 200), rng) for _ in range(60)]
