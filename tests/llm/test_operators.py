@@ -144,6 +144,20 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty, path).count() == 0
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a plain text", "one <|endoftext|> two", "<|endoftext|><|endoftext|>", None, "<|endoftext| >", " it's<|endoftext|>'s  \n", "", "plain again"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[1] and 50256 not in want[4]
+    at = 0
+    for r, ids in zip(sorted(token_files.token_files(df, path).collect(), key=lambda r: r.doc_id), want):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+        at += len(ids) + 1
+    assert {r.doc_id: r.n_tokens for r in packing.pack_documents(df, path).collect()} == {k: len(ids) + 1 for k, ids in enumerate(want)}
+
+
 def test_bpe_documents(spark, docs, empty):
     tokens = bpe.read_ranks(spark, P.path("byte_bpe_50k.tiktoken"))
     full = bpe.encode_documents(docs, tokens).collect()

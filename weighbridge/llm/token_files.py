@@ -1,6 +1,7 @@
 """Operator 3: token ids in files of byte-aligned variable-length codes.
 
-Texts are encoded with the ``tokenizers`` library and end with an end id.  All ids
+Texts are encoded as ``Tokenizer.encode`` does without the post-processor (a text that
+holds one of the tokenizer's added tokens by that call itself) and end with an end id.  All ids
 of the corpus are counted; an id's rank in the order of falling counts (ties: by
 id) is what the files hold, so that frequent tokens take one byte.  A rank takes 1
 to 4 bytes; two bits say how many, and those bits stand by themselves: four to a
@@ -32,6 +33,27 @@ END, IDS = 0, 1 << 16
 _CACHES: dict = {}
 
 
+class TextCache(PieceCache):
+    """A piece cache that leaves texts with an added token in them, as '<|endoftext|>', to ``whole``, which encodes entire texts."""
+
+    def __init__(self, encode, added: list[str], whole):
+        super().__init__(encode)
+        self.added, self.whole = added, whole
+
+    def __call__(self, texts):
+        apart = [k for k, text in enumerate(texts) if any(token in text for token in self.added)]
+        if not apart:
+            return super().__call__(texts)
+        plain = list(texts)
+        for k in apart:
+            plain[k] = ""
+        ids, at = super().__call__(plain)
+        parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        for k in apart:
+            parts[k] = np.array(self.whole(texts[k]), np.uint16)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
 def library_cache(tokenizer_file: str) -> PieceCache:
     """A cache over the tokenizers library; one in each Python worker."""
     if tokenizer_file not in _CACHES:
@@ -41,7 +63,6 @@ def library_cache(tokenizer_file: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
         if tokenizer.get_vocab_size() > IDS:
             raise ValueError("ids must fit in 16 bits")
 
@@ -49,7 +70,8 @@ def library_cache(tokenizer_file: str) -> PieceCache:
             made = tokenizer.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
             return np.array(made.ids, np.uint16), np.bincount(np.array(made.word_ids, np.int64), minlength=len(pieces))
 
-        _CACHES[tokenizer_file] = PieceCache(encode)
+        added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        _CACHES[tokenizer_file] = TextCache(encode, added, lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
     return _CACHES[tokenizer_file]
 
 
