@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -336,6 +338,20 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty, licenses.known_licences(spark)).count() == 0
 
 
+def test_licences_with_title_wrapped_and_with_a_notice(spark):
+    known = licenses.known_texts()
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {i for i, _ in known}
+    rows = []
+    for i, text in known:
+        wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), 61) for p in re.split(r"\n[ \t]*\n", text))
+        rows += [(i, text), (i, "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + text), (i, wrapped)]
+    mit = dict(licenses.KNOWN)["MIT"]
+    rows += [("MIT", "The MIT License (MIT)\n\nCopyright Jane Doe\n\n" + mit.replace("copyright notice", "\ncopyright notice").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"))]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(df, licenses.known_licences(spark)).collect()}
+    assert {k: (i, got[k]) for k, (i, _) in enumerate(rows) if got[k] != i} == {}
+
+
 def test_bounded_sample(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     a, b = learning.bounded_sample(ids, 50, 1), learning.bounded_sample(ids, 50, 1)

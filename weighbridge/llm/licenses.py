@@ -6,6 +6,11 @@ space.  The SHA-256 of that form is joined to the digests of known licence texts
 which are put into the same form by the same expressions.  The scan is made of
 DataFrame functions alone.
 
+``digest`` is that of the canonical form, as the SQL has it.  A text that is not found
+by it is looked up by a second form, :func:`body`, which drops only real copyright
+notices (a year, (c) or a name follows), so that a wrapped line of a licence that
+begins with "copyright" stays, and takes any name in the third clause of BSD.
+
 The known licences are a small table of a parameter's size, checked before it is
 broadcast.
 
@@ -17,6 +22,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +80,52 @@ Unless required by applicable law or agreed to in writing, software distributed
 )
 
 
+#: Usual title lines of the texts in KNOWN; the texts of files hold their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+TEXTS = Path(__file__).parent / "licence_texts"
+
+#: A real notice: a year, (c) or a capital name follows; licences' own lines of that kind (the Foundation's, and those in how-to parts) stay.
+NOTICE = (
+    r"(?m)^[ \t]*(?!.*(?:(?i)free software foundation|<name of author>|year +name of author|\[yyyy\]))"
+    r"(?:(?i:copyright)[ \t:]*(?:(?i:\(c\))|©|<|\d{4})|(?:(?i:\(c\))|©)[ \t]*(?:(?i:copyright)|\d{4})"
+    r"|(?:Copyright|COPYRIGHT)[ \t:]+(?!(?i:holders?|owners?|notices?|licen[cs]es?|laws?|and|or|in|is|of|interests?|statements?|permissions?|the|for|treaty|doctrines?|status|disclaimers?|claims?|protection)\b)\p{Lu}"
+    r"|(?i:all rights reserved)\.?[ \t]*$)[^\n]*$"
+)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN, the third clause of BSD, their titled variants, and the texts of files, with and without what follows their terms."""
+    own = dict(KNOWN)
+    head, tail = own["BSD-2-Clause"].split("THIS SOFTWARE IS", 1)
+    own["BSD-3-Clause"] = head + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS" + tail
+    out = list(own.items())
+    out += [(i, f"{title}\n\n{own[i]}") for i, titles in TITLES.items() for title in titles]
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8")
+        out.append((path.stem, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(path.stem, terms), (path.stem, terms + end)]
+    return out
+
+
+def body(text: Column) -> Column:
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    out = F.lower(F.regexp_replace(F.regexp_replace(out, NOTICE, ""), "-\n[ \t]*", "-"))  # a word wrapped at its hyphen is one
+    out = F.regexp_replace(out, r"\s+", " ")  # spellings of two words may be wrapped too
+    for other, one in SPELLINGS:
+        out = F.replace(out, F.lit(other), F.lit(one))
+    out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    return F.regexp_replace(out, r"neither the name .{1,300}? may be used to endorse", "neither the name may be used to endorse")
+
+
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
@@ -81,20 +134,23 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 
-def known_licences(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest and license_id of each known text."""
+def known_licences(spark: SparkSession, known=None) -> DataFrame:
+    """digest and license_id of each known text, in both forms."""
+    known = known_texts() if known is None else known
     if len(known) > MOST_KNOWN:
         raise ValueError(f"at most {MOST_KNOWN} known licences")
     rows = spark.createDataFrame([tuple(k) for k in known], "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    forms = rows.select("license_id", F.explode(F.array(canonical(F.col("text")), body(F.col("text")))).alias("form"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """The operator: doc_id, digest, license_id (null where the text is no known licence) for each document."""
     form = canonical(F.col("text").cast("string"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(form, 256).alias("digest"), (form == "").alias("blank"))
-    joined = found.join(F.broadcast(known), "digest", "left")
-    return joined.select("doc_id", "digest", F.when(~F.col("blank"), F.col("license_id")).alias("license_id"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(form, 256).alias("digest"), F.sha2(body(F.col("text").cast("string")), 256).alias("body"), (form == "").alias("blank"))
+    second = known.select(F.col("digest").alias("body"), F.col("license_id").alias("by_body"))
+    joined = found.join(F.broadcast(known), "digest", "left").join(F.broadcast(second), "body", "left")
+    return joined.select("doc_id", "digest", F.when(~F.col("blank"), F.coalesce("license_id", "by_body")).alias("license_id"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
