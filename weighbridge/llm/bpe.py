@@ -3,8 +3,8 @@
 A text is cut by the pattern into pre-tokens; each is encoded by itself.
 
 Tier 1: a minimal perfect hash over the vocabulary's whole tokens.  A pre-token
-that is in the vocabulary is one id; its slot holds its full 64-bit hash, which
-must agree.
+that is in the vocabulary is one id; its slot's 64-bit hash and the token's bytes
+must agree with it.
 Tier 2: any other pre-token starts as its bytes, linked left and right.  A heap
 holds the ranks of neighbouring pairs that join to a token; the lowest rank (ties:
 the leftmost) is merged, its links and its two new pairs renewed, until no pair is
@@ -50,7 +50,8 @@ class PerfectHash:
     """Minimal perfect hash of n keys: n slots; each bucket of keys has the first seed that sends all to free slots."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        n = len(keys)
+        keys, first = np.unique(keys, return_index=True)
+        values, n = values[first], len(keys)
         self.n, self.buckets = n, max(1, n // 4)
         self.seed = np.zeros(self.buckets, U)
         self.keys, self.values = np.zeros(n, U), np.zeros(n, np.int32)
@@ -148,12 +149,15 @@ class Coder:
         ids = self.first_tier(keys).tolist()
         out: list[int] = []
         sizes = np.ones(len(pieces), np.int64)
-        rank = self.rank
+        tokens, rank = self.tokens, self.rank
         for k, i in enumerate(ids):
-            if i >= 0:
+            raw = pieces[k].encode("utf-8")
+            if i >= 0 and tokens[i] == raw:
                 out.append(i)
+            elif i >= 0 and (whole := rank.get(raw)) is not None:  # another token has its hash
+                out.append(whole)
             else:
-                found = merge(pieces[k].encode("utf-8"), rank)
+                found = merge(raw, rank)
                 sizes[k] = len(found)
                 out += found
         return np.array(out, np.uint16), sizes
@@ -197,7 +201,7 @@ def encode_documents(docs: DataFrame, tokens: list[bytes]) -> DataFrame:
         own = coder(shared.value)
         for frame in frames:
             texts = frame["text"].fillna("").tolist()
-            for part in slices(texts):
+            for part in slices(texts, 1 << 20):
                 ids, at = own.encode(texts[part])
                 cut = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[part], "ids": [c.astype(np.int32) for c in cut], "decoded": [own.decode(c) for c in cut]})
@@ -216,7 +220,7 @@ def digest_documents(docs: DataFrame, tokens: list[bytes]) -> DataFrame:
         for frame in frames:
             texts = frame["text"].fillna("").tolist()
             counts, of_ids, of_bytes = [], [], []
-            for part in slices(texts):
+            for part in slices(texts, 1 << 20):
                 ids, at = own.encode(texts[part])
                 words = names[ids]
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -231,7 +235,7 @@ def digest_documents(docs: DataFrame, tokens: list[bytes]) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     least = least.select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    joined = hot.join(both, least, ["a"], ["b"])  # the middle of a large star has many links
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     up = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,7 +33,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Columns node and component (the least node that is reachable), for each node that has a link."""
+    """Columns node and component (the least node that is reachable), for each node that has a link: a written table."""
     links = scratch.written(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "links")
     mark = None
     for k in range(most_rounds):
@@ -50,4 +50,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     ends = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
+    return scratch.finished(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends), "components", links)

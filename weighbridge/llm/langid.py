@@ -7,9 +7,9 @@ language whose codeword has the least total logistic loss wins; its share of
 exp(-loss) is the score, and a text is ambiguous if the runner-up's share comes
 within ``margin`` of it.
 
-Training takes at most ``per_language`` whole texts of each language, and short
-pieces of them; those of the held-out fold are never taken.  Prediction reads the
-whole text and nothing else.
+Training takes at most ``per_language`` whole texts of each language that the table
+names, and short pieces of them; those of the held-out fold are never taken.
+Prediction reads the whole text and nothing else.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without any
 labelled text all are ``und``; with one language every text with a letter is that
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .learning import Adam, bounded_sample, held_out, sigmoid, with_ids
+from .learning import Adam, bounded_samples, held_out, sigmoid, with_ids
 from .textbatch import slices
 
-SLOTS, PER_LANGUAGE, MARGIN, MOST_LANGUAGES = 8192, 300, 0.2, 200
+SLOTS, PER_LANGUAGE, MARGIN = 8192, 300, 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[128:] = np.arange(128, 256)
@@ -102,34 +102,41 @@ class Model:
         return names, scores, doubt
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 120) -> Model:
-    """rows: language, slots and their shares of a text."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 120, most: int = 1 << 18) -> Model:
+    """rows: language, slots and their shares of a text; sparse throughout, ``most`` shares at a time."""
     languages = sorted({r[0] for r in rows})
     if len(languages) < 2:
         return Model(languages, np.zeros((SLOTS, 1)), np.zeros(1))
     code = codewords(len(languages))
-    x = np.zeros((len(rows), SLOTS), np.float32)
-    for k, (_, slots, share) in enumerate(rows):
-        x[k, slots] = share
     scale = 60.0
-    x *= scale
-    label = np.array([languages.index(r[0]) for r in rows])
+    place = {name: k for k, name in enumerate(languages)}
+    label = np.array([place[r[0]] for r in rows])
     y, weight = code[label], (1.0 / np.bincount(label))[label][:, None] / len(languages)
+    slots, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]) * np.float32(scale)
+    size = np.array([len(r[1]) for r in rows])
+    edge = np.concatenate(([0], np.cumsum(size)))
+    cuts = np.unique(np.searchsorted(edge, np.arange(0, edge[-1], most)).tolist() + [len(rows)])
     w, b = np.zeros((SLOTS, code.shape[1])), np.zeros(code.shape[1])
     adam = Adam([w.shape, b.shape], 0.05)
     for _ in range(rounds):
-        slope = -y * sigmoid(-y * (x @ w.astype(np.float32) + b)) * weight
-        adam.step([w, b], [(x.T @ slope.astype(np.float32)).astype(np.float64) + 1e-6 * w, slope.sum(axis=0)])
+        narrow, dw, db = w.astype(np.float32), np.zeros_like(w), np.zeros_like(b)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own, part = slots[edge[lo] : edge[hi]], share[edge[lo] : edge[hi]]
+            sums = np.add.reduceat(narrow[own] * part[:, None], edge[lo:hi] - edge[lo], axis=0)
+            slope = -y[lo:hi] * sigmoid(-y[lo:hi] * (sums + b)) * weight[lo:hi]
+            for k in range(code.shape[1]):
+                dw[:, k] += np.bincount(own, part * np.repeat(slope[:, k], size[lo:hi]), SLOTS)
+            db += slope.sum(axis=0)
+        adam.step([w, b], [dw + 1e-6 * w, db])
     return Model(languages, w * scale, b)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from ``text`` and ``lang`` of documents outside of the held-out fold."""
-    docs = scratch.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(F.col("lang").isNotNull() & ~held_out())
-    ids_of = known.select("doc_id", "lang")  # the texts are read for the sample alone
-    found = [r["lang"] for r in ids_of.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ids = [i for k, lang in enumerate(sorted(found)) for i in bounded_sample(ids_of.where(F.col("lang") == lang), per_language, k)]
+    sampled = bounded_samples(known.select("doc_id", "lang"), "lang", per_language)  # the texts are read for the sample alone
+    ids = sorted({i for own in sampled.values() for i in own})
     if not ids:
         return fit([])
 
@@ -157,7 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores, doubt = shared.value.predict(frame["text"].fillna("").tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": names, "score": scores, "ambiguous": doubt})
 
-    made = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    made = docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return made.withColumn("doc_id", scratch.id_out("doc_id")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
@@ -170,7 +177,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         names, _, doubt = shared.value.predict(text.fillna("").tolist())
         return pd.Series([n != "und" and not d for n, d in zip(names, doubt)])
 
-    return scratch.text_batches(docs).where(clear(F.col("text").cast("string")))
+    return docs.where(clear(F.col("text").cast("string")))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

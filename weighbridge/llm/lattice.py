@@ -12,14 +12,16 @@ Groups are not paired out: equal vectors form a class with one representative.
 Representatives at an angle of at most half the link angle from a common pivot
 form a ball, all of whose members link with each other; within a ball links are
 counted, not listed.  A ball of over ``big`` members enters the tables as a single
-entity, which is opened only for entities that meet it and pass the wider sketch
-bound.
+entity with its pivot's sketch, whose cells are those of all its members; where it
+meets another entity and the wider sketch bound allows, their members are compared
+in blocks of ``BLOCK`` by matrix products, which yield counts and one link a member.
 
 Cases: a vector that is null, empty or zero, or holds null or non-finite components
 links with nothing and is its own component; vectors of different lengths never
 link; repeated rows with one vec_id count as vectors of their own and share that
-id's component; rows without vec_id are returned with null ids and no links; other
-columns are ignored; an empty table gives no rows.
+id's component; rows without vec_id count as vectors for the others and link
+like them, and a component without any id has a null component_id; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 from .components import components
 from .textbatch import U, mix
 
-COSINE, TABLES, PROBES, SCALE, BIG = 0.9, 8, 8, 0.8, 64
+COSINE, TABLES, PROBES, SCALE, BIG, BLOCK = 0.9, 8, 8, 0.8, 64, 256
 SKETCH = 128
 
 
@@ -129,6 +131,37 @@ def _safe(x: np.ndarray) -> np.ndarray:
     return np.where((most > 1e100) | (most < 1e-100), x / most, x)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _crossed(least: float):
+    """Blocks of two entities -> for each member with links the others' number, and one of them."""
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                for size in {len(v) for v in row.xs} & {len(v) for v in row.ys}:
+                    own = [i for i, v in enumerate(row.xs) if len(v) == size]
+                    other = [i for i, v in enumerate(row.ys) if len(v) == size]
+                    x, y = _matrix([row.xs[i] for i in own]), _matrix([row.ys[i] for i in other])
+                    value = _unit(x) @ _unit(y).T
+                    for i, j in zip(*np.nonzero(np.abs(value - least) < 1e-9)):  # too close for another order of sums
+                        p, q = _safe(x[i : i + 1])[0], _safe(y[j : j + 1])[0]
+                        value[i, j] = (p * q).sum() / np.sqrt((p * p).sum()) / np.sqrt((q * q).sum())
+                    near = value >= least
+                    if not near.any():
+                        continue
+                    a, b = np.asarray(row.a_ids)[own], np.asarray(row.b_ids)[other]
+                    m, n = np.asarray(row.a_copies)[own], np.asarray(row.b_copies)[other]
+                    for ids, many, partners, hits in ((a, n, b, near), (b, m, a, near.T)):
+                        some = hits.any(axis=1)
+                        yield pd.DataFrame({"id": ids[some], "others": hits[some] @ many, "one": partners[hits[some].argmax(axis=1)]})
+
+    return run
+
+
 def _bound(angle: float) -> int:
     """Sketch bits in which two vectors at this angle differ, and 4.4 standard deviations."""
     p = angle / math.pi
@@ -139,12 +172,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     """The operator: vec_id, n_links, component_id, kept for each row of (vec_id, embedding)."""
     if not 0.0 < cosine < 1.0:
         raise ValueError("cosine must lie between 0 and 1")
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.expr("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
-    classes = scratch.written(
-        rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.max("vec_id").alias("last")), "vectors")
-    # of several classes with one least id (an id repeated with other vectors) each gets a number of its own
-    classes = scratch.written(classes.withColumn("id", F.expr("xxhash64(rep, embedding)")), "classes")
+    rows = scratch.written(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), "rows")
+    fine = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
+    fine = F.coalesce(fine, F.lit(False))
+    # of several classes with one least id (an id repeated with other vectors, or none) each gets a number of its own
+    classes = rows.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.written(classes.withColumn("id", F.expr("xxhash64(coalesce(rep, 0), embedding)")), "classes")
     angle = math.acos(cosine)
 
     def hashed(frames):
@@ -184,33 +217,52 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     known = scratch.written(
         classes.select(F.col("id").alias("a"), "copies").join(balls, "a", "left").join(sizes, "ball", "left")
         .select(F.col("a").alias("id"), "copies", F.coalesce("ball", "a").alias("ball"), F.coalesce("ball_copies", "copies").alias("ball_copies"), F.coalesce("members", F.lit(1)).alias("members"))
-        .withColumn("entity", F.when(F.col("members") > big, F.col("ball")).otherwise(F.col("id"))), "balls")
+        .withColumn("is_big", F.col("members") > big).withColumn("entity", F.when(F.col("is_big"), F.xxhash64(F.lit("ball"), F.col("ball"))).otherwise(F.col("id"))), "balls")
+
+    # entities in the tables: big balls under a number of their own with their pivots' sketches, all others by themselves
+    side = scratch.written(hashes.join(known.select("id", "entity", "ball", "is_big"), "id"), "side")
+    pivots = side.where("is_big and id = ball").select("ball", F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+    seen = hot.join(side, pivots, ["ball"], ["id"], "left").select("entity", "ball", "is_big", F.coalesce("p0", "s0").alias("s0"), F.coalesce("p1", "s1").alias("s1"), "own", "cells")
+    seen = scratch.finished(seen, "seen", side, hashes)
+
+    def placed(column: str) -> DataFrame:
+        every = seen.select("entity", "ball", "is_big", "s0", "s1", F.explode(column).alias("cell"))
+        return every.where("not is_big").unionByName(every.where("is_big").distinct())
 
-    # entities in the tables: big balls by their pivots, all others by themselves
-    seen = hashes.select("id", "own", "cells").join(known.select("id", "entity", "ball"), "id")
-    entity = hashes.select(F.col("id").alias("entity"), "s0", "s1").join(known.groupBy("entity").agg(F.max((F.col("members") > big).cast("int")).alias("is_big")), "entity")
-    lone = lambda column: seen.select("entity", "ball", F.explode(column).alias("cell")).distinct().join(entity, "entity")
-    a, b = lone("own").alias("a"), lone("cells").alias("b")
+    own, wide = placed("own"), placed("cells")
+    crowded = hot.hot_keys(own.select("cell"), ["cell"])
+    a, b = hot.dealt(own, crowded, ["cell"], ["entity"]).alias("a"), hot.repeated(wide, crowded, ["cell"]).alias("b")
     bounds = [_bound(angle), _bound(1.5 * angle), _bound(2 * angle)]
-    allowed = f"element_at(array({', '.join(map(str, bounds))}), 1 + a.is_big + b.is_big)"
-    met = a.join(b, F.expr(f"a.cell = b.cell AND a.ball <> b.ball AND {differ} <= {allowed}")).select(F.expr("least(a.entity, b.entity)").alias("e"), F.expr("greatest(a.entity, b.entity)").alias("f")).distinct()
-    inside = known.select("entity", "id")
-    opened = met.join(inside.select(F.col("entity").alias("e"), F.col("id").alias("a")), "e").join(inside.select(F.col("entity").alias("f"), F.col("id").alias("b")), "f").select("a", "b")
-    links = scratch.written(verified(opened, cosine).select("a", "b"), "vector-links")
+    allowed = f"element_at(array({', '.join(map(str, bounds))}), 1 + cast(a.is_big as int) + cast(b.is_big as int))"
+    met = a.join(b, F.expr(f"a.cell = b.cell AND a.{hot.PART} = b.{hot.PART} AND a.ball <> b.ball AND {differ} <= {allowed}"))
+    met = scratch.written(met.select(F.expr("least(a.entity, b.entity)").alias("e"), F.expr("greatest(a.entity, b.entity)").alias("f"), F.expr("a.is_big or b.is_big").alias("open")).distinct(), "met")
+    links = scratch.written(verified(met.where("not open").select(F.col("e").alias("a"), F.col("f").alias("b")), cosine).select("a", "b"), "vector-links")
+    inside = met.where("open").select(F.explode(F.array("e", "f")).alias("entity")).distinct()
+    blocks = known.join(inside, "entity", "left_semi").join(vectors, "id").withColumn("block", F.expr(f"pmod(xxhash64(id), cast(ceil(members / {BLOCK}) as int))"))
+    blocks = blocks.groupBy("entity", "block").agg(F.collect_list(F.struct("id", "copies", "embedding")).alias("held"))  # about BLOCK members
+    blocks = scratch.written(blocks.select("entity", "block", F.col("held.id").alias("ids"), F.col("held.copies").alias("copies"), F.col("held.embedding").alias("vs")), "blocks")
+    x = blocks.select(F.col("entity").alias("e"), F.col("ids").alias("a_ids"), F.col("copies").alias("a_copies"), F.col("vs").alias("xs"))
+    y = blocks.select(F.col("entity").alias("f"), F.col("ids").alias("b_ids"), F.col("copies").alias("b_copies"), F.col("vs").alias("ys"))
+    crossed = met.where("open").join(x, "e").join(y, "f").select("a_ids", "a_copies", "xs", "b_ids", "b_copies", "ys")
+    crossed = scratch.finished(crossed.mapInPandas(_crossed(cosine), "id long, others long, one long"), "crossed", blocks, met, seen)
 
     # counts and components
     copies = known.select(F.col("id").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
-    found = components(links.unionByName(mates.select("a", "b"))).withColumnRenamed("node", "id")
-    named = classes.select("id", "rep").join(found, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    listed = both.join(copies, "b").select(F.col("a").alias("id"), F.col("copies").alias("others"))
+    others = listed.unionByName(crossed.select("id", "others")).groupBy("id").agg(F.sum("others").alias("others"))
+    found = components(links.unionByName(mates.select("a", "b")).unionByName(crossed.select(F.col("id").alias("a"), F.col("one").alias("b"))))
+    named = classes.select("id", "rep").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    named = scratch.written(named, "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    told = known.join(others, "id", "left").join(named, "id").join(smallest, "component").select(
-        "id", (F.col("ball_copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    labels = hot.join(named, smallest, ["component"], ["id"]).select("id", "component_id")
+    told = known.join(others, "id", "left").join(labels, "id").select("id", (F.col("ball_copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     told = classes.join(told, "id").select("embedding", "n_links", "component_id")
-    good = rows.where(fine).join(told, "embedding").select("vec_id", "n_links", "component_id")
-    bad = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    keyed = scratch.written(rows.where(fine), "fine")
+    good = hot.join(keyed, told, ["embedding"], ["vec_id"]).select("vec_id", "n_links", "component_id")
+    bad = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return scratch.finished(out, "near-vectors", rows, classes, mates, known, links, crossed, found, named, keyed)
 
 
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

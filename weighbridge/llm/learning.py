@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,22 @@ def bounded_sample(ids: DataFrame, n: int, salt: int) -> list[int]:
     return [r["doc_id"] for r in few.orderBy("rank", "doc_id").limit(n).collect()]
 
 
+def bounded_samples(ids: DataFrame, group: str, n: int, salt: int = 0) -> dict[str, list[int]]:
+    """For each value of a column at most ``n`` ids, as :func:`bounded_sample` takes them, in two passes over the ids."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"), group).where(F.col("doc_id").isNotNull() & F.col(group).isNotNull())
+    counts = ids.groupBy(group).agg(F.count("*").alias("total")).collect()  # a row for each group
+    if not counts:
+        return {}
+    ceiling = [(r[group], min(int(min(1.0, 2.0 * n / r["total"] + 40.0 / r["total"]) * 2**63) * 2 - 2**63 - 1, 2**63 - 1)) for r in counts]
+    bounds = ids.sparkSession.createDataFrame(ceiling, f"{group} {dict(ids.dtypes)[group]}, below long")
+    few = ids.withColumn("rank", F.xxhash64(F.lit(salt), F.col("doc_id"))).join(F.broadcast(bounds), group).where("rank <= below").select(group, "doc_id", "rank").distinct()
+    first = few.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy("rank", "doc_id"))).where(F.col("nth") <= n)  # some 2 n rows a group
+    out: dict = {r[group]: [] for r in counts}
+    for r in first.select(group, "doc_id").collect():
+        out[r[group]].append(r["doc_id"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def with_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
     """The rows of a bounded list of ids."""
     listed = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")

@@ -9,8 +9,8 @@ document, so that no task orders a whole bucket; each shard has at most one batc
 that is not full.
 
 Cases: a null text counts as the empty text and has the end token alone; rows
-without doc_id are packed like others; repeated rows are packed each by itself, in
-the same shard; other columns are ignored; an empty table gives no rows.
+without doc_id are packed like others, dealt by their texts; repeated rows are packed
+each by itself, in the same shard; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,16 +28,17 @@ LONGEST, BUCKETS, BUDGET, SHARD_ROWS = 4096, 12, 16384, 20_000
 
 
 def token_lengths(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id and n_tokens, the end token included."""
+    """doc_id, n_tokens (the end token included) and a hash of the text."""
 
     def run(frames):
         cache = library_cache(tokenizer_file)
         for frame in frames:
-            texts = frame["text"].fillna("").tolist()
-            sizes = [np.diff(cache(texts[part])[1]) + 1 for part in slices(texts)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.concatenate(sizes) if sizes else np.zeros(0, np.int64)})
+            texts = frame["text"].tolist()
+            sizes = [np.diff(cache(texts[part])[1]) + 1 for part in slices(texts, 1 << 20)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.concatenate(sizes) if sizes else np.zeros(0, np.int64), "spread": frame["spread"]})
 
-    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long")
+    texts = docs.select(scratch.id_in("doc_id"), scratch.text_of()).withColumn("spread", F.xxhash64("text"))
+    return texts.mapInPandas(run, "doc_id long, n_tokens long, spread long")
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -73,9 +74,11 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def pack(rows: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, n_tokens) -> doc_id, piece, n_tokens, bucket, padded, shard, batch, slot."""
-    cut = rows.select("doc_id", F.col("n_tokens").alias("whole"), F.explode(F.expr(f"sequence(0L, greatest(0L, (n_tokens - 1) div {longest}))")).alias("piece"))
-    cut = cut.select("doc_id", "piece", F.least(F.lit(longest).cast("long"), F.col("whole") - F.col("piece") * longest).alias("n_tokens"))
+    """(doc_id, n_tokens, perhaps spread) -> doc_id, piece, n_tokens, bucket, padded, shard, batch, slot."""
+    if "spread" not in rows.columns:
+        rows = rows.withColumn("spread", F.lit(0).cast("long"))
+    cut = rows.select("doc_id", "spread", F.col("n_tokens").alias("whole"), F.explode(F.expr(f"sequence(0L, greatest(0L, (n_tokens - 1) div {longest}))")).alias("piece"))
+    cut = cut.select("doc_id", "spread", "piece", F.least(F.lit(longest).cast("long"), F.col("whole") - F.col("piece") * longest).alias("n_tokens"))
     seen = cut.groupBy("n_tokens").count().orderBy("n_tokens").collect()  # a row for each length up to longest
     lengths, counts = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.int64)
     bounds = bucket_bounds(lengths, counts, buckets)
@@ -86,7 +89,7 @@ def pack(rows: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
         inside, low = (F.col("n_tokens") > low) & (F.col("n_tokens") <= bound), bound
         bucket, padded = F.when(inside, k).otherwise(bucket), F.when(inside, F.lit(bound).cast("long")).otherwise(padded)
         shards, per = F.when(inside, -(-held // shard_rows)).otherwise(shards), F.when(inside, max(1, budget // bound)).otherwise(per)
-    dealt = cut.select("doc_id", "piece", "n_tokens", bucket.alias("bucket"), padded.alias("padded"), F.pmod(F.xxhash64("doc_id", "piece"), shards).cast("int").alias("shard"), per.alias("per"))
+    dealt = cut.select("doc_id", "piece", "n_tokens", bucket.alias("bucket"), padded.alias("padded"), F.pmod(F.xxhash64("doc_id", "piece", "spread"), shards).cast("int").alias("shard"), per.alias("per"))
     nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "doc_id", "piece")) - 1
     return dealt.withColumn("nth", nth).select(
         scratch.id_out("doc_id"), "piece", "n_tokens", "bucket", "padded", "shard", F.expr("cast(nth div per as long)").alias("batch"), F.expr("cast(nth % per as int)").alias("slot"))

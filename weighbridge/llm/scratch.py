@@ -1,9 +1,14 @@
 """Where intermediate tables of long jobs are kept.
 
 Everything goes to the folder that the session names in ``spark.checkpoint.dir``,
-which all executors share.  Only where the setting is absent (tests, a laptop) a
-temporary folder is chosen.  Files are written and deleted by Spark and Hadoop's
-file system API, so any store that Spark can reach will do.
+which all executors share, below a folder of the application's own.  Where the
+setting is absent a temporary folder is chosen, but only in local mode, where driver
+and tasks are one process; elsewhere that is an error.  Files are written and deleted
+by Spark and Hadoop's file system API, so any store that Spark can reach will do.
+
+An operator drops its own tables as soon as nothing reads them; the one that its
+result reads stays until :func:`clear` or until the folder's owner empties it.  No
+setting of the session is changed.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside Python, where a null would turn all ids of a batch into floats.
 NO_ID = -(2**63)
+_LOCAL: dict[str, str] = {}
 
 
 def id_in(name: str) -> Column:
@@ -26,24 +32,20 @@ def id_out(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
 
 
+def text_of(name: str = "text") -> Column:
+    """The text, a null one as the empty text."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; set once where the cluster names none."""
+    """The application's folder within the shared one."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The frame, of which Python workers then get this many rows at once: texts are long, and Spark's default is 10,000 rows.
-
-    A number that the session has chosen for itself stays.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(rows))
-    return df
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return f"{folder.rstrip('/')}/{app}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,11 +62,26 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return back
 
 
+def finished(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """As :func:`written`; then drops the tables that ``df`` was made from."""
+    back = written(df, name)
+    drop(*done)
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has kept; frames that read them fail from then on."""
+    delete(spark, shared_folder(spark))

@@ -15,12 +15,19 @@ are never paired.
 Cases: a null text counts as the empty text, whose fingerprint is 0; texts of 1 to
 4 words have one term of all their words (and those of two); repeated rows each
 give a row; other columns of the input are ignored; an empty table gives no rows;
-rows without doc_id come last in descending order.
+rows without doc_id come last in descending order; rows of one id, or of none, follow
+each other by a hash of their texts; class_id is null where no document of the class
+has an id.
+
+The radius is small beside what an edit does: one changed word touches five runs of
+five.  It finds documents that differ in next to nothing (README has figures); edited
+copies are the concern of operator 5.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +35,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 from .textbatch import U, mix, shingles, slices, word_hashes
 
-BITS, RADIUS, BLOCKS = 128, 3, 5
+BITS, RADIUS, BLOCKS, MOST_PARTS = 128, 3, 5, 20_000
 _LANES = U(0x0101010101010101)
 
 
@@ -90,7 +97,7 @@ def _edited_rows(frames):
         # the last row may need a row of the batch to come; a part's closing row needs none
         if len(frame):
             last = frame.iloc[-1:]
-        texts = frame["text"].fillna("").tolist()
+        texts = frame["text"].tolist()
         closing = frame["closing"].to_numpy()
         prints = _fingerprint_all(texts)
         at = np.flatnonzero(~closing[:-1]) if len(frame) else np.zeros(0, int)
@@ -115,47 +122,46 @@ _PASS = "doc_id long, n_chars long, edited_sha binary, hi long, lo long, edited_
 def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
     """Fingerprints of all texts and of their edits, which take words from the next document.
 
-    Documents in descending doc_id are cut into parts at quantiles of doc_id; each
-    part is closed by a copy of the first row of the next, so that no part waits
-    for another.  Only ids are read for that; the texts are shuffled once.
+    Documents in descending doc_id are cut into at most MOST_PARTS parts; each part is
+    closed by a copy of the first row of the next, so that no part waits for another.
+    The cuts come from a sample of the ids alone, and the texts are shuffled once.  Only
+    if an id (or none) has more rows than a part are texts hashed for the cuts too.
     """
     spark = docs.sparkSession
-    docs = scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text"))
-    # a document's place: descending doc_id, null last, equal ids by text, equal rows in any order
-    key = F.when(F.col("doc_id") == scratch.NO_ID, F.lit(2**63 - 1)).otherwise(-F.col("doc_id"))
-    ids = docs.select(key.alias("key"))
-    n = ids.count()
+    docs = docs.select(scratch.id_in("doc_id"), scratch.text_of())
+    # a document's place: descending doc_id, null last, equal ids by their texts' hashes, equal rows in any order
+    key = F.when(F.col("doc_id") == scratch.NO_ID, F.lit(2**63 - 1)).otherwise(-F.col("doc_id")).alias("key")
+    n, lost = docs.select(key).agg(F.count("*"), F.count(F.when(F.col("key") == 2**63 - 1, 1))).first()
     if not n:
         return spark.createDataFrame([], _PASS)
-    parts = max(2, min(20_000, max(n // rows_per_part, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    cuts = sorted(set(ids.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    cuts = [min(int(c), 2**63 - 1) for c in cuts]
-    edges = np.array(cuts, np.int64)
+    parts = max(2, min(MOST_PARTS, max(n // rows_per_part, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    size = max(1, n // parts)
+    crowded = lost > size or bool(docs.select(key).groupBy("key").count().where(F.col("count") > size).limit(1).count())
+    side = F.xxhash64("text") if crowded else F.lit(0).cast("long")
+    places = docs.select(key, side.alias("side"))
+    some = F.pmod(F.xxhash64("key", "side", F.lit(1)), F.lit(max(1, n // (40 * parts)))) == 0
+    seen = sorted((r["key"], r["side"]) for r in places.where(some).limit(400 * parts).collect())  # a sample for the cuts, about 40 a part
+    cuts = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
+    cut_keys, cut_sides = np.array([c[0] for c in cuts], np.int64), [c[1] for c in cuts]
 
     @F.pandas_udf("int")
-    def part(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, keys.to_numpy(np.int64), side="right").astype(np.int32))
-
-    placed = docs.withColumn("key", key).withColumn("part", part("key"))
-    heads = dict(ids.withColumn("part", part("key")).groupBy("part").agg(F.min("key")).collect())  # a row for each part
-    order = sorted(heads)
-    before = {heads[p]: order[i - 1] for i, p in enumerate(order)}  # the part that the head closes; the first closes the last
-    lookup = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    closing = (
-        placed.where(F.col("key").isin(list(before)))
-        .withColumn("rank", F.row_number().over(_by("key")))
-        .where("rank = 1").drop("rank")
-        .withColumn("part", lookup[F.col("key")])
-    )
+    def part(keys: pd.Series, sides: pd.Series) -> pd.Series:
+        keys = keys.to_numpy(np.int64)
+        low, high = np.searchsorted(cut_keys, keys, side="left"), np.searchsorted(cut_keys, keys, side="right")
+        for i in np.flatnonzero(low < high):
+            low[i] = bisect_right(cut_sides, sides.iat[i], low[i], high[i])
+        return pd.Series(low.astype(np.int32))
+
+    placed = docs.withColumns({"key": key, "side": side}).withColumn("part", part("key", "side"))
+    heads = places.withColumn("part", part("key", "side")).groupBy("part").agg(F.min(F.struct("key", "side")).alias("head")).collect()  # a row for each part
+    order = sorted((r["part"], r["head"]["key"], r["head"]["side"]) for r in heads)
+    # the part that a head closes: the one before it; the first closes the last
+    ends = spark.createDataFrame([(k, s, order[i - 1][0]) for i, (_, k, s) in enumerate(order)], "key long, side long, closes int")
+    closing = placed.drop("part").join(F.broadcast(ends), ["key", "side"]).groupBy("closes", "key", "side").agg(F.min(F.struct("text", "doc_id")).alias("row"))
+    closing = closing.select("row.doc_id", "row.text", "key", "side", F.col("closes").alias("part"))
     every = placed.withColumn("closing", F.lit(False)).unionByName(closing.withColumn("closing", F.lit(True)))
-    dealt = every.repartitionByRange(len(order), "part").sortWithinPartitions("part", "closing", "key", "text")
-    return dealt.drop("key", "part").mapInPandas(_edited_rows, _PASS)
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("text")
+    dealt = every.repartitionByRange(len(order), "part").sortWithinPartitions("part", "closing", "key", "side", "text")
+    return dealt.select("doc_id", "text", "closing").mapInPandas(_edited_rows, _PASS)
 
 
 def block_tables(blocks: int = BLOCKS, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -173,22 +179,26 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     rows = prints.select("hi", "lo").distinct().select("hi", "lo", F.inline(tables)).select(
         "t", F.expr("hi & mh").alias("kh"), F.expr("lo & ml").alias("kl"), "hi", "lo")
     crowded = rows.groupBy("t", "kh", "kl").count().where("count > 1").select("t", "kh", "kl")
-    rows = rows.join(crowded, ["t", "kh", "kl"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
+    keys = ["t", "kh", "kl"]
+    rows = scratch.written(rows.join(crowded, keys, "left_semi"), "crowded")
+    many = hot.hot_keys(rows, keys)
+    a, b = hot.dealt(rows, many, keys, ["hi", "lo"]).alias("a"), hot.repeated(rows, many, keys).alias("b")
     near = F.expr(f"(a.hi < b.hi OR (a.hi = b.hi AND a.lo < b.lo)) AND bit_count(a.hi ^ b.hi) + bit_count(a.lo ^ b.lo) <= {radius}")
-    on = F.expr("a.t = b.t AND a.kh = b.kh AND a.kl = b.kl")
-    return a.join(b, on & near).select(F.col("a.hi").alias("hi"), F.col("a.lo").alias("lo"), F.col("b.hi").alias("other_hi"), F.col("b.lo").alias("other_lo")).distinct()
+    on = F.expr(f"a.t = b.t AND a.kh = b.kh AND a.kl = b.kl AND a.{hot.PART} = b.{hot.PART}")
+    pairs = a.join(b, on & near).select(F.col("a.hi").alias("hi"), F.col("a.lo").alias("lo"), F.col("b.hi").alias("other_hi"), F.col("b.lo").alias("other_lo")).distinct()
+    return scratch.finished(pairs, "near-prints", rows)
 
 
 def with_links(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Adds class_id (smallest doc_id with that fingerprint), class_size, and n_links: other documents within the radius."""
-    classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    """Adds class_id (smallest doc_id with that fingerprint), class_size, and n_links (other documents within the radius) to a written table."""
+    keys = ["hi", "lo"]
+    classes = scratch.written(rows.groupBy(*keys).agg(F.min(F.nullif("doc_id", F.lit(scratch.NO_ID))).alias("class_id"), F.count("*").alias("class_size")), "prints")
     pairs = neighbours(classes, radius, blocks)
     both = pairs.unionByName(pairs.select(F.col("other_hi").alias("hi"), F.col("other_lo").alias("lo"), F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo")))
     sizes = classes.select(F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"), F.col("class_size").alias("others"))
-    far = both.join(sizes, ["other_hi", "other_lo"]).groupBy("hi", "lo").agg(F.sum("others").alias("others"))
-    known = classes.join(far, ["hi", "lo"], "left").select("hi", "lo", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return rows.join(known, ["hi", "lo"], "left")
+    far = both.join(sizes, ["other_hi", "other_lo"]).groupBy(*keys).agg(F.sum("others").alias("others"))
+    known = classes.join(far, keys, "left").select(*keys, "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return scratch.finished(hot.join(rows, known, keys, ["doc_id", "edited_sha"]), "fingerprints", rows, classes, pairs)
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -198,7 +208,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = B
     return with_links(first, radius, blocks).select(
         scratch.id_out("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
         text("hi", "lo").alias("fingerprint"), text("edited_hi", "edited_lo").alias("edited_fingerprint"),
-        "near_edited", "near_next", scratch.id_out("class_id"), "class_size", "n_links")
+        "near_edited", "near_next", "class_id", "class_size", "n_links")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Numpy work on batches of whole texts: word hashes, shingles, pre-tokens.
 
-A batch of texts is laid end to end in one array and treated at once.  A hash of
-each piece (word, pre-token) comes from prefix-free polynomial sums: with an odd
-base P every power has an inverse modulo 2**64, so the sum over a piece can be
-shifted to start at power zero.
+A batch of texts is laid end to end in one array and treated at once.  A piece (word,
+pre-token) is hashed by a sum of its characters, each times a random number of its
+place in the piece, so that no family of strings is known to collide.
 """
 
 from __future__ import annotations
@@ -13,10 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15
-_INV = pow(_P, -1, 1 << 64)
-_POW = np.ones(1, U)
-_IPOW = np.ones(1, U)
+_FACTORS = np.zeros(0, U)
 
 #: Words are runs of ASCII letters, digits, underscores and all bytes of non-ASCII characters, in lower case.
 _WORD = np.zeros(256, bool)
@@ -25,21 +21,6 @@ for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_":
     _WORD[_c] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _IPOW
-    if len(_POW) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for base in (_P, _INV):
-            out = np.full(size, base, U)
-            out[0] = 1
-            out = np.cumprod(out, dtype=U)
-            if base == _P:
-                _POW = out
-            else:
-                _IPOW = out
-    return _POW[:n], _IPOW[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads all 64 bits."""
     h = h ^ (h >> U(31))
@@ -49,15 +30,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def _factors(n: int) -> np.ndarray:
+    """A random odd number for each place in a piece."""
+    global _FACTORS
+    if len(_FACTORS) < n:
+        _FACTORS = mix(np.arange(1, (1 << max(12, (n - 1).bit_length())) + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+    return _FACTORS
+
+
 def piece_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hash of each piece; values outside of all pieces must be 0, those inside above 0."""
     if not len(starts):
         return np.zeros(0, U)
-    power, inverse = _powers(len(values))
-    return mix(np.add.reduceat(values.astype(U) * power, starts) * inverse[starts] + lengths.astype(U) * U(0xD6E8FEB86659FD93))
+    begin = starts - starts[0]
+    room = np.diff(starts, append=len(values))  # a piece and what lies between it and the next
+    place = np.arange(len(values) - starts[0]) - np.repeat(begin, room)
+    sums = np.add.reduceat(values[starts[0] :] * _factors(int(room.max()))[place], begin)
+    return mix(sums + lengths.astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def slices(texts: Sequence[str], most: int = 1 << 20) -> Iterator[slice]:
+def slices(texts: Sequence[str], most: int = 1 << 18) -> Iterator[slice]:
     """Consecutive slices of about ``most`` characters; a longer text is a slice by itself."""
     begin = size = 0
     for k, text in enumerate(texts):
@@ -168,31 +160,39 @@ def pretokens(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.nda
 
 
 class PieceCache:
-    """Ids of pre-tokens met so far, as sorted arrays; emptied when it holds ``most`` pieces.
+    """Ids of pre-tokens met so far, as arrays sorted by hash; emptied when it holds ``most`` pieces.
 
-    ``encode`` takes a list of new pieces and returns their ids end to end and how
-    many each has.
+    ``encode`` takes a list of new pieces with their hashes and returns their ids end
+    to end and how many each has.  A hash only finds a piece: its characters are
+    compared, within a batch and with those kept, before its ids are taken.  A batch in
+    which two pieces share a hash is encoded piece by piece.
     """
 
-    def __init__(self, encode, most: int = 1_500_000):
+    def __init__(self, encode, most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size, self.ids, self.used = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
-
-    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        if len(self.ids) < self.used + len(ids):
-            grown = np.zeros(max(2 * len(self.ids), self.used + len(ids)), np.uint16)
-            grown[: self.used] = self.ids[: self.used]
-            self.ids = grown
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
+        self.keys = np.zeros(0, U)
+        self.at, self.size, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
+        self.from_, self.long, self.chars, self.held = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32), 0
+
+    @staticmethod
+    def _put(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if len(store) < used + len(more):
+            grown = np.zeros(max(2 * len(store), used + len(more)), store.dtype)
+            grown[:used] = store[:used]
+            store = grown
+        store[used : used + len(more)] = more
+        return store
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids, self.chars = self._put(self.ids, self.used, ids), self._put(self.chars, self.held, chars)
         where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, at)
-        self.size = np.insert(self.size, where, sizes)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(sizes) - sizes)
+        self.from_ = np.insert(self.from_, where, self.held + np.cumsum(lengths) - lengths)
+        self.keys, self.size, self.long = np.insert(self.keys, where, keys), np.insert(self.size, where, sizes), np.insert(self.long, where, lengths)
+        self.used, self.held = self.used + len(ids), self.held + len(chars)
 
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and for each text (and the end) the index of its first id."""
@@ -201,17 +201,40 @@ class PieceCache:
             return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
         if len(self.keys) > self.most:
             self.clear()
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        shift = (starts[index][inverse] - starts) if (lengths[index][inverse] == lengths).all() else None
+        if shift is None or not (chars[np.arange(len(chars)) + np.repeat(shift, lengths)] == chars).all():
+            return self._one_by_one(joined, starts, lengths, hashes, first)
         where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[where] != keys if len(self.keys) else np.ones(len(keys), bool)
+        old = np.flatnonzero(~new)
+        if len(old):
+            here, there, n = index[old], where[old], lengths[index[old]]
+            if (self.long[there] != n).any() or (_stretches(chars, starts[here], n) != _stretches(self.chars, self.from_[there], n)).any():
+                return self._one_by_one(joined, starts, lengths, hashes, first)
         if new.any():
             pick = index[new]
             pieces = [joined[a : a + k] for a, k in zip(starts[pick].tolist(), lengths[pick].tolist())]
             ids, sizes = self.encode(pieces, keys[new])
-            self._add(keys[new], ids, sizes)
+            self._add(keys[new], ids, sizes, _stretches(chars, starts[pick], lengths[pick]), lengths[pick])
             where = np.searchsorted(self.keys, keys)
         where = where[inverse]
         sizes = self.size[where].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[where] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        return ids, np.concatenate(([0], ends))[first]
+        return _stretches(self.ids, self.at[where], sizes), np.concatenate(([0], np.cumsum(sizes)))[first]
+
+    def _one_by_one(self, joined: str, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place: dict[str, int] = {}
+        nth = np.array([place.setdefault(joined[a : a + k], len(place)) for a, k in zip(starts.tolist(), lengths.tolist())])
+        _, pick = np.unique(nth, return_index=True)
+        ids, sizes = self.encode(list(place), hashes[pick])
+        at, sizes = np.cumsum(sizes) - sizes, np.asarray(sizes, np.int64)
+        return _stretches(ids, at[nth], sizes[nth]), np.concatenate(([0], np.cumsum(sizes[nth])))[first]
+
+
+def _stretches(values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array, end to end."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    if not len(ends):
+        return values[:0]
+    return values[np.repeat(at - (ends - sizes), sizes) + np.arange(ends[-1])]

@@ -123,14 +123,14 @@ def tokenise(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         for frame in frames:
             texts = frame["text"].fillna("").tolist()
             blobs, counts = [], []
-            for part in slices(texts):
+            for part in slices(texts, 1 << 20):
                 ids, at = cache(texts[part])
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     blobs.append(squeeze.compress(ids[a:b].tobytes() + b"\0\0"))
                     counts.append(b - a + 1)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": np.array(counts, np.int64), "ids": blobs})
 
-    return scratch.text_batches(docs).select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(scratch.id_in("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _ids(blobs) -> list[np.ndarray]:
