@@ -1,9 +1,9 @@
 """Joins on keys of which one may have a large share of all rows.
 
 Keys with over ``per`` rows are dealt into parts of about ``per`` rows by a hash of
-other columns, and what they are joined to is repeated for each part.  ``per`` is
-raised to a ``MOST_HOT``-th of all rows, so that there are at most ``MOST_HOT`` such
-keys: their list is broadcast, and nothing else.
+other columns, and what they are joined to is repeated for each part.  Of such keys
+the ``MOST_HOT`` largest count (any other has less than a ``MOST_HOT``-th of all rows):
+their list is broadcast, and nothing else.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ PART, PARTS = "__part", "__parts"
 
 def hot_keys(rows: DataFrame, keys: list[str], per: int = PER) -> DataFrame:
     """keys and PARTS of the keys that have too many rows: at most MOST_HOT."""
-    per = max(per, -(-rows.count() // MOST_HOT))
-    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > per).select(*keys, F.ceil(F.col("__n") / per).cast("int").alias(PARTS))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > per).orderBy(F.desc("__n"), *keys).limit(MOST_HOT)
+    return many.select(*keys, F.ceil(F.col("__n") / per).cast("int").alias(PARTS))
 
 
 def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
