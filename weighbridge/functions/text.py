@@ -81,8 +81,7 @@ def reporting_family(metadata: Column, name: Column) -> Column:
 
 
 def loss_family(metadata: Column, name: Column) -> Column:
-    """Family for loss weights: named, else the record id up to a dot or slash, else the name up to a slash or dot."""
-    record = metadata["ledger_source_record_id"]
+    """Family for loss weights: named, else the record id up to its first dot (or slash), else the name up to its first slash (or dot); an id without either is the family."""
+    record = F.nullif(metadata["ledger_source_record_id"], F.lit(""))
     cut = lambda x, a, b: F.when(x.contains(a), F.split_part(x, F.lit(a), F.lit(1))).when(x.contains(b), F.split_part(x, F.lit(b), F.lit(1)))
-    return F.coalesce(
-        first_non_empty(metadata["target_family"], metadata["family"]), F.nullif(cut(record, ".", "/"), F.lit("")), F.nullif(cut(name, "/", "."), F.lit("")), F.lit("unspecified"))
+    return F.coalesce(F.nullif(metadata["family"], F.lit("")), cut(record, ".", "/"), record, cut(name, "/", "."), F.lit("unspecified"))

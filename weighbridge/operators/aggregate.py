@@ -28,7 +28,7 @@ def achieved_budget(rows: DataFrame, holdout_type: str) -> DataFrame:
     Sampled records are counted in draws, so that the sample's own count isn't comparable.
     """
     keys = ["l2_lambda", "budget_requested"]
-    own = rows.where(F.col("holdout_type") == holdout_type).groupBy("method", *keys).agg(F.avg("budget_achieved").alias("own"))
+    own = sliced(rows, holdout_type, scope="run", metric="budget_achieved").groupBy("method", *keys).agg(F.avg("value").alias("own"))
     of = lambda m, name: own.where(F.col("method") == m).select(*keys, F.col("own").alias(name))
     out = own.join(of("informed_l0", "l0"), keys, "left").join(of("random_reweight", "random"), keys, "left")
     chosen = F.when(F.col("method") == "dense_sample", F.coalesce("l0", "random", F.col("budget_requested").cast("double"))).otherwise(F.coalesce("own", F.col("budget_requested").cast("double")))
@@ -121,14 +121,15 @@ def generalization_gap(rows: DataFrame, metric: str = "mean_are", holdout_type:
     return side("in_sample", "inside").join(side("out_of_sample", "outside"), keys).withColumn("gap", F.col("outside") - F.col("inside"))
 
 
-def top_contributors(diagnostics: DataFrame, k: int = 10, l2: float | None = None, share_keys: tuple[str, ...] = ("method", "budget_requested")) -> DataFrame:
-    """The k targets of each method and budget that drive the mean error, with their share of the summed error."""
+def top_contributors(diagnostics: DataFrame, k: int = 15, l2: float | None = None, split: str = "out_of_sample", share_keys: tuple[str, ...] = ("method", "budget_requested")) -> DataFrame:
+    """The k targets of each method and budget that drive the mean error of a split, with their share of its summed error."""
+    diagnostics = diagnostics.where(F.col("split") == split)
     if l2 is not None:
         diagnostics = diagnostics.where(F.col("l2_lambda") == l2)
     elif diagnostics.agg(F.count_distinct("l2_lambda")).first()[0] > 1:
         raise ValueError("several l2 values: choose one")
     keys = list(share_keys)
-    mean = diagnostics.where("absolute_relative_error is not null").groupBy(*keys, "target_name", "family").agg(F.avg("absolute_relative_error").alias("mean_are"))
+    mean = diagnostics.where("absolute_relative_error is not null").groupBy(*keys, "target_name", "family", "is_degenerate").agg(F.avg("absolute_relative_error").alias("mean_are"))
     total = F.sum("mean_are").over(Window.partitionBy(*keys))
     shared = mean.withColumn("share", F.when(total > 0, F.col("mean_are") / total).otherwise(0.0))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("mean_are"), "target_name"))
@@ -155,11 +156,12 @@ def headline_method(rows: DataFrame) -> DataFrame:
 
 
 def anchor_budget(rows: DataFrame, requested: int | None = None) -> DataFrame:
-    """One row: the requested budget if there, else the upper median of the budgets with the richest l2 grid."""
-    per = rows.groupBy("budget_requested").agg(F.count_distinct("l2_lambda").alias("grid"))
+    """One row: the requested budget if L0 ran at it, else the upper median of L0's budgets with the richest l2 grid, else the requested one."""
+    own = sliced(rows, "fixed_family", scope="run", metric="ess").where("method = 'informed_l0'")
+    per = own.groupBy("budget_requested").agg(F.count_distinct("l2_lambda").alias("grid"))
     listed = per.agg(F.max("grid").alias("most"), F.array_sort(F.collect_list(F.struct("budget_requested", "grid"))).alias("all"))
     rich = F.transform(F.filter("all", lambda x: x["grid"] == F.col("most")), lambda x: x["budget_requested"])
     chosen = F.element_at(rich, (F.size(rich) / 2).cast("int") + 1)
     if requested is not None:
-        chosen = F.when(F.exists("all", lambda x: x["budget_requested"] == requested), F.lit(requested).cast(dict(rows.dtypes)["budget_requested"])).otherwise(chosen)
+        chosen = F.when(F.exists("all", lambda x: x["budget_requested"] == requested), F.lit(requested).cast(dict(rows.dtypes)["budget_requested"])).otherwise(F.coalesce(chosen, F.lit(requested).cast(dict(rows.dtypes)["budget_requested"])))
     return listed.select(chosen.alias("budget_requested"))

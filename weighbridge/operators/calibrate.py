@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
@@ -24,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
 from .sample import weighted_sample
 from .universe import random_subset, to_full
 
@@ -169,10 +169,9 @@ def loss_of(estimate: np.ndarray, value: np.ndarray, omega: np.ndarray, cap: flo
     return (share * np.minimum(np.abs(error), cap)).sum(axis=0), slope
 
 
-def _step(block: Block, state: State, slope: np.ndarray, total: np.ndarray | None, configs: list[Config], options: Options, epoch: int, n: int) -> None:
+def _step(block: Block, state: State, slope: np.ndarray, configs: list[Config], options: Options, epoch: int, n: int) -> None:
     w, base, dz = state.weights(block, configs, epoch)
     g = block.slope(slope)
-    z = np.divide(w, base, out=np.zeros_like(w), where=base > 0)
     gt, gg = g * w, g * base * dz
     for k, c in enumerate(configs):
         if c.l2:
@@ -198,7 +197,6 @@ def _step(block: Block, state: State, slope: np.ndarray, total: np.ndarray | Non
             limit = c.weight_ratio * block.w0
             state.theta[:, k] = np.minimum(state.theta[:, k], np.log(limit))
             state.weight[:, k] = np.minimum(state.weight[:, k], limit)
-    _ = z
 
 
 @dataclass
@@ -267,7 +265,7 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
     sc = problem.blocks.context
     spark = SparkSession.builder.getOrCreate()
     if sc._jsc.sc().getCheckpointDir().isEmpty():  # the cluster names none
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(spark))
     m, r, n = len(problem.value), len(configs), problem.n
 
     def start(block: Block):
@@ -282,7 +280,7 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
             if scale is not None:  # conserve: the weights are brought back to the input mass
                 state.theta += np.log(scale)[None, :]
                 state.weight *= scale[None, :]
-            _step(block, state, slope, None, configs, options, epoch, n)
+            _step(block, state, slope, configs, options, epoch, n)
             w, _, _ = state.weights(block, configs, epoch + 1)
             opened = np.array([open_chance(state.gate[:, k], c.temperature).sum() if c.l0 else float((w[:, k] > 0).sum()) for k, c in enumerate(configs)])
             return block, state, block.estimate(w, m), w.sum(axis=0), opened
@@ -316,8 +314,7 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
     scale = np.where(mass > 0, problem.mass / np.maximum(mass, 1e-300), 1.0) if options.mass == "conserve" else np.ones(r)
     loss, _ = loss_of(estimate * scale[None, :], problem.value, problem.omega, options.cap)
     out = ended.flatMap(lambda x: [(k, int(x[0].ids[i]), float(x[1][i, k] * scale[k])) for k in range(r) for i in np.flatnonzero(x[1][:, k] > 0)])
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
-    path = f"{folder}/weights-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
     spark.createDataFrame(out, "configuration int, record_id long, weight double").write.parquet(path)
     for held in (rows, ended):
         held.unpersist()
@@ -342,29 +339,39 @@ def informed_l0(problem: Problem, options: Options, penalties: list[float], seed
 
 
 def _closest(counts: list[int], target: int) -> int:
-    """The first of the least gaps; no survivors is an answer like any other."""
+    """The first of the least gaps."""
     return min(range(len(counts)), key=lambda k: (abs(counts[k] - target), k))
 
 
-def _search(run, low: float, high: float, target: int, width: int, rounds: int = 2) -> tuple[Fit, int, list[tuple[int, float, int, int]]]:
-    """Grids of log penalties, each finer, between the last that keeps too many and the first that keeps too few."""
+def _search(run, low: float, high: float, target: int, width: int, rounds: int = 2, empty: bool = True) -> tuple[Fit, int, list[tuple[int, float, int, int]]]:
+    """Grids of log penalties, each finer, between the last that keeps too many and the first that keeps too few.
+
+    empty: whether a fit without survivors may win; otherwise the lower bound is the last resort, and an error if it has none either.
+    """
+    bottom = low
     record, best = [], None
     for round_ in range(rounds):
         grid = np.logspace(math.log10(low), math.log10(high), width)
         got = run([float(g) for g in grid])
         record += [(round_, float(g), n, abs(n - target)) for g, n in zip(grid, got.retained)]
-        k = _closest(got.retained, target)
-        if best is None or abs(got.retained[k] - target) < abs(best[0].retained[best[1]] - target):
+        able = [i for i, n in enumerate(got.retained) if n or empty]
+        k = able[_closest([got.retained[i] for i in able], target)] if able else None
+        if k is not None and (best is None or abs(got.retained[k] - target) < abs(best[0].retained[best[1]] - target)):
             best = (got, k)
-        if best[0].retained[best[1]] == target:
+        if best is not None and best[0].retained[best[1]] == target:
             break
         many = [i for i, n in enumerate(got.retained) if n >= target]
         few = [i for i, n in enumerate(got.retained) if n < target]
-        left = max(many) if many else max(0, k - 1)
+        left = max(many) if many else max(0, (k or 0) - 1)
         right = min((i for i in few if i > left), default=min(width - 1, left + 1))
         low, high = float(grid[left]), float(grid[max(right, min(left + 1, width - 1))])
         if not low < high:
             break
+    if best is None:
+        got = run([bottom])
+        if not got.retained[0]:
+            raise ValueError(f"no record survives even at the lower bound {bottom:g}")
+        best = (got, 0)
     return best[0], best[1], record
 
 
@@ -377,10 +384,10 @@ def informed_l0_at_budget(problem: Problem, options: Options, target_records: in
 def informed_l1_at_budget(problem: Problem, options: Options, target_records: int, seed: int = 0, bracket: tuple[float, float] = L1_BRACKET, width: int = 6) -> tuple[Fit, int, list]:
     """Soft-threshold weights at the penalty whose retained count is closest to the budget."""
     low, high = bracket
-    if not (0 < low < high and math.isfinite(high)):
+    if not (0 < low <= high and math.isfinite(high)):
         raise ValueError("the bracket must be positive, finite and ascending")
     run = lambda grid: fit(problem, [Config("informed_l1", seed, l1=g) for g in grid], options)
-    return _search(run, low, high, target_records, width, rounds=3)
+    return _search(run, low, high, target_records, width if low < high else 1, rounds=3, empty=False)
 
 
 def _one(fits: Fit, k: int) -> DataFrame:

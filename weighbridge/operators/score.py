@@ -39,10 +39,13 @@ def target_diagnostics(scored: DataFrame, loss_weights: DataFrame | None = None,
 def score(diagnostics: DataFrame, run_keys: list[str], are: str = "absolute_relative_error", value: str = "target_value", achieved: str = "achieved_value") -> DataFrame:
     """One pass over all levels: (run keys, scope, scope_value) with relative-error and zero-target statistics.
 
-    n counts the targets with a relative error, n_targets all of them.  The columns
-    of removal sensitivity are null where no target is degenerate.
+    n counts the targets with a relative error, n_targets all of them.  A family or
+    level without any such target has no row.  The columns of removal sensitivity look
+    at targets with a relative error alone and are null where no degenerate targets
+    are named (no column is_degenerate).
     """
     d = diagnostics.withColumns({"__are": F.col(are), "__abs": F.abs(F.col(achieved) - F.col(value)), "__zero": F.col(value) == 0})
+    named = F.lit("is_degenerate" in d.columns)
     if "is_degenerate" not in d.columns:
         d = d.withColumn("is_degenerate", F.lit(False))
     zero = lambda f: f(F.when(F.col("__zero"), F.col("__abs")))
@@ -52,13 +55,14 @@ def score(diagnostics: DataFrame, run_keys: list[str], are: str = "absolute_rela
         F.grouping("family").alias("__f"), F.grouping("geography_level").alias("__g"),
         F.avg("__are").alias("mean_are"), F.median("__are").alias("median_are"), F.max("__are").alias("max_are"), F.count("__are").alias("n"), F.count("*").alias("n_targets"),
         F.count_if("__zero").alias("n_zero_value_targets"), zero(F.avg).alias("mean_absolute_error_zero"), zero(F.max).alias("max_absolute_error_zero"),
-        F.avg(F.when(~F.col("is_degenerate"), F.col("__are"))).alias("__ex"), F.count_if("is_degenerate").alias("n_degenerate"),
+        F.avg(F.when(~F.col("is_degenerate"), F.col("__are"))).alias("__ex"), F.count_if(F.col("is_degenerate") & F.col("__are").isNotNull()).alias("n_degenerate"),
         F.count_if(F.col("__are") > 1).alias("n_are_gt_1"), F.count_if(F.col("__are") > 5).alias("n_are_gt_5"))
+    out = out.where("n > 0 OR (__f = 1 AND __g = 1)")
     scope = F.when(F.col("__f") == 0, "family").when(F.col("__g") == 0, "geography").otherwise("overall")
     return out.select(
         *run_keys, scope.alias("scope"), F.coalesce(F.when(F.col("__f") == 0, F.col("family")), F.when(F.col("__g") == 0, F.col("geography_level")), F.lit("")).alias("scope_value"),
         "mean_are", "median_are", "max_are", "n", "n_targets", "n_zero_value_targets", "mean_absolute_error_zero", "max_absolute_error_zero",
-        F.when(F.col("n_degenerate") > 0, F.col("__ex")).alias("mean_are_ex_degenerate"), F.when(F.col("n_degenerate") > 0, F.col("n_degenerate")).alias("n_degenerate"),
+        F.when(named, F.col("__ex")).alias("mean_are_ex_degenerate"), F.when(named, F.col("n_degenerate")).alias("n_degenerate"),
         "n_are_gt_1", "n_are_gt_5")
 
 
@@ -81,6 +85,7 @@ def tail_counts(rows: DataFrame, run_keys: list[str], thresholds: tuple[float, .
     return rows.groupBy(*run_keys).agg(F.count(are).alias("n_scored"), *more)
 
 
+#: Metrics of a score; the last two are those of the overall scope alone.
 SCORE_METRICS = ("mean_are", "median_are", "max_are", "n", "mean_are_ex_degenerate", "n_degenerate")
 
 
@@ -89,6 +94,7 @@ def long_rows(scored: DataFrame, run_values: DataFrame, keys: list[str], holdout
     columns = schemas.names(schemas.METRICS_LONG)
     doubles = [F.col(m).cast("double").alias(m) for m in SCORE_METRICS]
     a = scored.select(*keys, "split", "scope", "scope_value", *doubles).unpivot([*keys, "split", "scope", "scope_value"], list(SCORE_METRICS), "metric", "value")
+    a = a.where("scope = 'overall' OR metric NOT IN ('mean_are_ex_degenerate', 'n_degenerate')")
     metrics = [c for c in run_values.columns if c not in keys]
     b = run_values.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "value")
     b = b.withColumns({"split": F.lit("na"), "scope": F.lit("run"), "scope_value": F.lit("")})

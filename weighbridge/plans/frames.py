@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import matrix, score
 from ..operators.universe import Universe
 from ..sources.fixtures import table
+from ..sources.tables import shared_folder
 
 RUN = ["method", "seed", "budget_requested", "l2_lambda"]
 MOST_TARGETS = 1_000_000
@@ -20,8 +20,7 @@ FOLD_OF = {"balance": 0, "population": 0, "activity": 1, "segment": 1}
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the session's shared folder and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +47,10 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.col("target_name").cast("binary")).alias("target_pos"), "target_name", F.when(F.col("measure").isin("orders_total", "n_orders"), "order").otherwise("record").alias("entity"), "measure", "value", "family",
         "geography_level", "basis", "filter", F.create_map(F.lit("family"), F.col("family"), F.lit("geography_level"), F.col("geography_level")).alias("metadata"), "validation_only")
     # a published list, of tens of thousands at most: it is made once and kept as a local table
-    return spark.createDataFrame(out.limit(MOST_TARGETS).collect(), out.schema)
+    rows = out.limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    return spark.createDataFrame(rows, out.schema)
 
 
 def built_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +94,11 @@ scored AS (SELECT method, seed, budget_requested, l2_lambda, split,
     count(*) FILTER (WHERE target_value = 0) AS n_zero_value_targets,
     avg(abs(achieved_value - target_value)) FILTER (WHERE target_value = 0) AS mean_absolute_error_zero,
     max(abs(achieved_value - target_value)) FILTER (WHERE target_value = 0) AS max_absolute_error_zero,
-    CASE WHEN count(*) FILTER (WHERE is_degenerate) > 0 THEN avg(e) FILTER (WHERE NOT is_degenerate) END AS mean_are_ex_degenerate,
-    CASE WHEN count(*) FILTER (WHERE is_degenerate) > 0 THEN count(*) FILTER (WHERE is_degenerate) END AS n_degenerate,
+    avg(e) FILTER (WHERE NOT is_degenerate) AS mean_are_ex_degenerate, count(e) FILTER (WHERE is_degenerate) AS n_degenerate,
     count(*) FILTER (WHERE e > 1) AS n_are_gt_1, count(*) FILTER (WHERE e > 5) AS n_are_gt_5
   FROM are GROUP BY GROUPING SETS ((method, seed, budget_requested, l2_lambda, split),
-    (method, seed, budget_requested, l2_lambda, split, family), (method, seed, budget_requested, l2_lambda, split, geography_level)))"""
+    (method, seed, budget_requested, l2_lambda, split, family), (method, seed, budget_requested, l2_lambda, split, geography_level))
+  HAVING count(e) > 0 OR (grouping(family) = 1 AND grouping(geography_level) = 1))"""
 
 METRICS_SQL = SCORES_SQL + """,
 tall AS (UNPIVOT (SELECT method, seed, budget_requested, l2_lambda, split, scope, scope_value, mean_are, median_are, max_are, CAST(n AS DOUBLE) AS n, mean_are_ex_degenerate,
@@ -104,6 +106,6 @@ tall AS (UNPIVOT (SELECT method, seed, budget_requested, l2_lambda, split, scope
 ran AS (UNPIVOT (SELECT method, seed, budget_requested, l2_lambda, CAST(n_selected AS DOUBLE) AS n_selected, budget_achieved, ess, max_weight, runtime_s FROM fx_runvalue)
     ON n_selected, budget_achieved, ess, max_weight, runtime_s INTO NAME metric VALUE value),
 long AS (SELECT b.*, v.n_selected AS budget_achieved, 'fixed_family' AS holdout_type, -1 AS fold FROM (
-    SELECT method, seed, budget_requested, l2_lambda, split, scope, scope_value, metric, value FROM tall
+    SELECT method, seed, budget_requested, l2_lambda, split, scope, scope_value, metric, value FROM tall WHERE scope = 'overall' OR metric NOT IN ('mean_are_ex_degenerate', 'n_degenerate')
     UNION ALL SELECT method, seed, budget_requested, l2_lambda, 'na', 'run', '', metric, value FROM ran) b
   JOIN fx_runvalue v USING (method, seed, budget_requested, l2_lambda))"""

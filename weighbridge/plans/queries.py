@@ -87,13 +87,13 @@ SCORE_COLUMNS = ("mean_are", "median_are", "max_are", "n", "n_targets", "n_zero_
 SELECT CASE WHEN grouping(family) = 0 THEN 'family' WHEN grouping(geography_level) = 0 THEN 'geography' ELSE 'overall' END AS scope,
 CASE WHEN grouping(family) = 0 THEN family WHEN grouping(geography_level) = 0 THEN geography_level ELSE '' END AS scope_value,
 round(avg(are) / 1000, 6) AS mean_are_k, round(median(are), 6) AS median_are, round(max(are) / 1000, 3) AS max_are_k, count(are) AS n, count(*) AS n_targets,
-CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN round(avg(are) FILTER (WHERE NOT bad), 6) END AS mean_are_ex_degenerate
-FROM e GROUP BY GROUPING SETS ((), (family), (geography_level))""", "fx_matrix", "fx_target")
+round(avg(are) FILTER (WHERE NOT bad), 6) AS mean_are_ex_degenerate, count(are) FILTER (WHERE bad) AS n_degenerate
+FROM e GROUP BY GROUPING SETS ((), (family), (geography_level)) HAVING count(are) > 0 OR (grouping(family) = 1 AND grouping(geography_level) = 1)""", "fx_matrix", "fx_target")
 def score_start(spark, sf):
     d = _start(spark, sf).withColumn("target_value", F.col("value"))
     s = score.score(d, ["method"])
     return s.select("scope", "scope_value", F.round(F.col("mean_are") / 1000, 6).alias("mean_are_k"), F.round("median_are", 6).alias("median_are"), F.round(F.col("max_are") / 1000, 3).alias("max_are_k"),
-                    "n", "n_targets", F.round("mean_are_ex_degenerate", 6).alias("mean_are_ex_degenerate"))
+                    "n", "n_targets", F.round("mean_are_ex_degenerate", 6).alias("mean_are_ex_degenerate"), "n_degenerate")
 
 
 @query(f"WITH {SCORES_SQL.strip()} SELECT method, seed, budget_requested, l2_lambda, split, scope, scope_value, "
@@ -339,14 +339,16 @@ def crosswalked(spark, sf):
 META = "concat('src.', family, '/', target_name)"
 
 
-@query("""SELECT target_name, CASE WHEN family = 'stress' THEN 'national' ELSE geography_level END AS geography_level, CASE WHEN family = 'balance' THEN 'named' ELSE 'src' END AS family,
-CASE WHEN family = 'balance' THEN 'named' ELSE 'src' END AS loss_family FROM fx_target""", "fx_target")
+@query("""SELECT target_name, geography_level, CASE WHEN family = 'balance' THEN 'named' WHEN family IN ('activity', 'segment') THEN 'plain' WHEN family = 'stress' THEN family ELSE 'src' END AS family,
+CASE WHEN family = 'activity' THEN 'plain' WHEN family = 'segment' THEN split_part(target_name, '/', 1) WHEN family = 'stress' THEN family ELSE 'src' END AS loss_family FROM fx_target""", "fx_target")
 def classified_targets(spark, sf):
     t = frames.targets(spark, sf)
     level = F.when(F.col("geography_level") == "national", " US ").when(F.col("geography_level") == "district", "Congressional_District").otherwise(F.col("geography_level"))
-    m = F.map_concat(
-        F.create_map(F.lit("ledger_source_record_id"), F.concat(F.lit("src."), F.col("family"), F.lit("/"), F.col("target_name")), F.lit("geo_level"), level),
-        F.when(F.col("family") == "balance", F.create_map(F.lit("target_family"), F.lit("named"))).otherwise(F.expr("cast(map() as map<string,string>)")))
+    family = F.col("family")
+    # ids with a dot, an id without a separator, no id (a role alone), and a family that is named
+    record = F.when(family == "activity", "plain").when(~family.isin("segment", "stress"), F.concat(F.lit("src."), family, F.lit("/"), F.col("target_name")))
+    pairs = [("ledger_source_record_id", record), ("geo_level", level), ("target_family", F.when(family == "balance", "named").when(family.isin("activity", "segment"), "plain")), ("family", F.when(family == "stress", family))]
+    m = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull()))
     return targets_.classified(t.withColumn("metadata", m)).select("target_name", "geography_level", "family", "loss_family")
 
 
@@ -371,7 +373,7 @@ def _ci(value: str, name: str = "") -> str:
     return f"round(avg({value}), 6) AS {p}mean, round(avg({value}) - {T2} * stddev_samp({value}) / sqrt(3), 6) AS {p}lo, round(avg({value}) + {T2} * stddev_samp({value}) / sqrt(3), 6) AS {p}hi, count(DISTINCT seed) AS n_seeds"
 
 
-ACHIEVED_SQL = """own AS (SELECT method, l2_lambda, budget_requested, avg(budget_achieved) AS own FROM long GROUP BY ALL),
+ACHIEVED_SQL = """own AS (SELECT method, l2_lambda, budget_requested, avg(value) AS own FROM long WHERE scope = 'run' AND metric = 'budget_achieved' GROUP BY ALL),
 ach AS (SELECT o.method, o.l2_lambda, o.budget_requested, CASE WHEN o.method = 'dense_sample' THEN coalesce(l.own, r.own, o.budget_requested) ELSE coalesce(o.own, o.budget_requested) END AS budget_achieved
   FROM own o LEFT JOIN own l ON l.method = 'informed_l0' AND l.l2_lambda = o.l2_lambda AND l.budget_requested = o.budget_requested
   LEFT JOIN own r ON r.method = 'random_reweight' AND r.l2_lambda = o.l2_lambda AND r.budget_requested = o.budget_requested)"""
@@ -459,14 +461,14 @@ def rotation_table(spark, sf):
     return rounded(report.rotation_table(frames.rotation(spark, sf), ["informed_l0", "dense_sample"]).withColumn("families", F.concat_ws(",", "families")))
 
 
-@query(f"""WITH d AS (SELECT *, {RAW} AS e FROM fx_diag WHERE l2_lambda = 0), m AS (SELECT method, budget_requested, target_name, family, avg(e) AS mean_are FROM d WHERE e IS NOT NULL GROUP BY ALL),
+@query(f"""WITH d AS (SELECT *, {RAW} AS e FROM fx_diag WHERE l2_lambda = 0 AND split = 'in_sample'), m AS (SELECT method, budget_requested, target_name, family, is_degenerate, avg(e) AS mean_are FROM d WHERE e IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, mean_are / sum(mean_are) OVER (PARTITION BY method, budget_requested) AS share, row_number() OVER (PARTITION BY method, budget_requested ORDER BY mean_are DESC, target_name) AS rank FROM m)
-SELECT method, budget_requested, target_name, family, round(mean_are, 6) AS mean_are, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""", "fx_diag")
+SELECT method, budget_requested, target_name, family, is_degenerate, round(mean_are, 6) AS mean_are, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""", "fx_diag")
 def top_contributors(spark, sf):
-    return rounded(A.top_contributors(frames.diagnostics(spark, sf), 5, l2=0.0))
+    return rounded(A.top_contributors(frames.diagnostics(spark, sf), 5, l2=0.0, split="in_sample"))
 
 
-@metrics_query(""", pick AS (SELECT budget_requested, count(DISTINCT l2_lambda) AS g FROM long GROUP BY 1), rich AS (SELECT list(budget_requested ORDER BY budget_requested) AS b FROM pick WHERE g = (SELECT max(g) FROM pick))
+@metrics_query(""", pick AS (SELECT budget_requested, count(DISTINCT l2_lambda) AS g FROM long WHERE scope = 'run' AND metric = 'ess' AND method = 'informed_l0' GROUP BY 1), rich AS (SELECT list(budget_requested ORDER BY budget_requested) AS b FROM pick WHERE g = (SELECT max(g) FROM pick))
 SELECT 'out_of_sample' AS split, 'informed_l0_refit' AS method, CAST(b[len(b) // 2 + 1] AS BIGINT) AS budget_requested FROM rich""")
 def headline(spark, sf):
     m = frames.metrics(spark, sf)
@@ -492,7 +494,7 @@ def pending_work(spark, sf):
 
 
 @metrics_query(""" SELECT DISTINCT holdout_type, fold, seed, CAST(budget_requested AS BIGINT) AS budget_requested, l2_lambda,
-CASE WHEN seed = 0 OR seed = 1 THEN CAST(budget_requested - 10 * seed AS BIGINT) ELSE CAST(budget_requested AS BIGINT) END AS matched_budget FROM long""")
+CASE WHEN seed = 0 OR seed = 1 THEN CAST(budget_requested - 10 * seed - 1 AS BIGINT) ELSE CAST(budget_requested AS BIGINT) END AS matched_budget FROM long""")
 def matched_budgets(spark, sf):
     m = frames.metrics(spark, sf)
     found = runs.achieved_budgets(m)

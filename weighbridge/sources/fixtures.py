@@ -35,7 +35,7 @@ SELECT concat('national/US/', measure) AS target_name, record_id, w0, family, ba
 UNION ALL SELECT concat('state/', state, '/', measure), record_id, w0, family, basis, 'state', value FROM fx_measure
 UNION ALL SELECT concat('district/', district, '/', measure), record_id, w0, family, basis, 'district', value FROM fx_measure
 UNION ALL SELECT 'stress/tiny', record_id, w0, 'stress', 'amount', 'national', value FROM fx_measure WHERE measure = 'acctbal'
-UNION ALL SELECT 'stress/zero', record_id, w0, 'stress', 'count', 'national', value FROM fx_measure WHERE measure = 'record_count'
+UNION ALL SELECT 'stress/zero', record_id, w0, 'void', 'count', 'national', value FROM fx_measure WHERE measure = 'record_count'
 UNION ALL SELECT 'forecast/n_orders', record_id, w0, 'forecast', 'count', 'national', value FROM fx_measure WHERE measure = 'n_orders'""",
     "fx_target": """
 SELECT target_name, family, basis, geography_level, family = 'forecast' AS validation_only,
@@ -55,14 +55,14 @@ SELECT r.method, r.l2_lambda, r.seed, r.budget_requested,
        CASE WHEN t.family IN ('orders', 'forecast') THEN 'out_of_sample' ELSE 'in_sample' END AS split,
        t.target_name, t.family, t.geography_level, t.value AS target_value,
        t.value * (1 + r.amp * (2 * {U(concat('achieved:', r.method, ':', r.seed, ':', r.budget_requested, ':', CASE WHEN r.l2_lambda = 0 THEN 'a' ELSE 'b' END, ':', t.target_name))} - 1) * sqrt(CAST(2000 AS DOUBLE) / r.budget_requested))
-         + CASE WHEN t.family = 'stress' THEN CAST(50 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS achieved_value,
+         + CASE WHEN t.family IN ('stress', 'void') THEN CAST(50 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS achieved_value,
        greatest(abs(t.value), CAST(1 AS DOUBLE)) AS scale, sqrt(greatest(abs(t.value), CAST(1 AS DOUBLE))) AS loss_weight,
        abs(t.value) < t.identifiability_floor AS is_degenerate
 FROM fx_run r CROSS JOIN fx_target t""",
     # what a run reports of itself
     "fx_runvalue": """
 SELECT method, seed, budget_requested, l2_lambda, CAST(budget_requested - 10 * seed AS BIGINT) AS n_selected,
-       CAST(budget_requested - 10 * seed AS DOUBLE) AS budget_achieved,
+       CAST(budget_requested - 10 * seed - 1 AS DOUBLE) AS budget_achieved,
        budget_requested * (CAST(0.5 AS DOUBLE) + amp) * (1 - l2_lambda * 100) + seed AS ess,
        CAST(900000 AS DOUBLE) / (1 + l2_lambda * 10000) + 1000 * seed + amp AS max_weight,
        amp * 1000 + seed + budget_requested / CAST(1000 AS DOUBLE) AS runtime_s

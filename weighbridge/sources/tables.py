@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,27 @@ from ..functions.rand import standard_normal, uniform
 from . import schemas
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode, where they are one process."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not folder:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return folder.rstrip("/")
+
+
 def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank ones are skipped, broken ones are an error that names them."""
-    out = spark.read.schema(schema + ", _corrupt_record string").json(path)
-    kept = out.cache()
-    bad = [r[0] for r in kept.where("_corrupt_record is not null").select("_corrupt_record").limit(3).collect()]
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    out = lines.select("value", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("fact")).select("value", "fact.*")
+    bad = [r[0] for r in out.where("_corrupt_record is not null").select("_corrupt_record").limit(3).collect()]
     if bad:
         raise ValueError(f"broken facts: {bad}")
-    return kept.drop("_corrupt_record")
+    return out.drop("_corrupt_record", "value")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
