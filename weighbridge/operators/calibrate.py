@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from .universe import random_subset, to_full
 EPOCHS, RATE, OPEN_AT_START, TEMPERATURE, DEFAULT_CAP, PRODUCTION_CAP = 1000, 0.02, 0.999, 0.25, 10.0, 1.0
 STRETCH_LOW, STRETCH_HIGH, WEIGHT_JITTER, GATE_JITTER = -0.1, 1.1, 0.05, 0.01
 L1_BRACKET = (1e-3, 1e2)
+#: Records of a block at most.
+MOST_RECORDS = 50_000
 
 
 def resolve_cap(weighting: str, cap: float | None = None) -> float:
@@ -227,23 +231,19 @@ class Problem:
         n, mass = weights.agg(F.count("*"), F.sum("w0")).first()
         if not n:
             raise ValueError("no records")
-        parts = partitions or max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 500)))
+        parts = partitions or max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 500)), -(-n // MOST_RECORDS))
         cells = matrix.join(F.broadcast(index), "target_name").select("record_id", "target", "value")
-        cells = weights.select("record_id", "w0").join(cells, "record_id", "left").repartition(parts, "record_id").sortWithinPartitions("record_id")
-
-        def block(rows):
-            ids, w0, record, target, value = [], [], [], [], []
-            for r in rows:
-                if not ids or ids[-1] != r[0]:
-                    ids.append(r[0])
-                    w0.append(r[1])
-                if r[2] is not None:
-                    record.append(len(ids) - 1)
-                    target.append(r[2])
-                    value.append(r[3])
-            yield Block(np.array(ids, np.int64), np.array(w0, float), np.array(record, np.int64), np.array(target, np.int64), np.array(value, float))
-
-        blocks = cells.rdd.map(tuple).mapPartitions(block).persist(StorageLevel.MEMORY_AND_DISK)
+        cells = weights.select(F.col("record_id").cast("long").alias("record_id"), F.col("w0").cast("double").alias("w0")).join(cells, "record_id", "left").repartition(parts, "record_id").sortWithinPartitions("record_id")
+
+        def block(frames):
+            held = pd.concat(list(frames), ignore_index=True)
+            ids, at = held["record_id"].to_numpy(), np.flatnonzero(np.diff(held["record_id"].to_numpy(), prepend=held["record_id"].iat[0] - 1 if len(held) else 0))
+            record = np.repeat(np.arange(len(at)), np.diff(at, append=len(ids)))
+            there = held["target"].notna().to_numpy()
+            own = Block(ids[at], held["w0"].to_numpy()[at], record[there], held["target"].to_numpy()[there].astype(np.int64), held["value"].to_numpy()[there])
+            yield pd.DataFrame({"block": [pickle.dumps(own)]})
+
+        blocks = cells.mapInPandas(block, "block binary").rdd.map(lambda row: pickle.loads(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
         return cls(names, np.array([rows[k] for k in names]), omega, int(n), float(mass), blocks)
 
 
@@ -313,9 +313,21 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
     estimate, mass = ended.map(lambda x: x[2:]).treeReduce(add)
     scale = np.where(mass > 0, problem.mass / np.maximum(mass, 1e-300), 1.0) if options.mass == "conserve" else np.ones(r)
     loss, _ = loss_of(estimate * scale[None, :], problem.value, problem.omega, options.cap)
-    out = ended.flatMap(lambda x: [(k, int(x[0].ids[i]), float(x[1][i, k] * scale[k])) for k in range(r) for i in np.flatnonzero(x[1][:, k] > 0)])
     path = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
-    spark.createDataFrame(out, "configuration int, record_id long, weight double").write.parquet(path)
+
+    def columns(row):
+        block, w = row[:2]
+        k, i = np.nonzero(w.T > 0)
+        return (pickle.dumps((k.astype(np.int32), block.ids[i], w[i, k] * scale[k])),)
+
+    def told(frames):
+        for frame in frames:
+            for raw in frame["part"]:
+                k, ids, w = pickle.loads(raw)
+                yield pd.DataFrame({"configuration": k, "record_id": ids, "weight": w})
+
+    # a row for each block, opened in batches
+    spark.createDataFrame(ended.map(columns), "part binary").mapInPandas(told, "configuration int, record_id long, weight double").write.parquet(path)
     for held in (rows, ended):
         held.unpersist()
     weights = spark.read.schema("configuration int, record_id long, weight double").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +28,21 @@ def draw_with_replacement(weights: DataFrame, n: int, seed: int) -> DataFrame:
     slice, where the draws are merged with the records' own cumulative weights.
     """
     total = _positive_total(weights)
-    rows = weights.where("weight > 0").select("record_id", "weight", F.pmod(F.xxhash64("record_id"), F.lit(SLICES)).cast("int").alias("slice"))
+    rows = weights.where("weight > 0").select("record_id", "weight", F.floor(uniform("slice", seed, F.col("record_id")) * SLICES).cast("int").alias("slice"))
     sums = rows.groupBy("slice").agg(F.sum("weight").alias("held"))
     ends = sums.withColumn("end", F.sum("held").over(Window.orderBy("slice"))).withColumn("begin", F.col("end") - F.col("held"))  # SLICES rows at most
     draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform("draw", seed, F.col("id")) * total).alias("at"))
     line = ends.select(F.col("slice"), F.col("begin")).collect()
     starts = sorted((r["begin"], r["slice"]) for r in line)
-    # the last slice that begins at or before the draw
-    bounds = F.array(*[F.lit(b) for b, _ in starts])
-    names = F.array(*[F.lit(s) for _, s in starts])
-    nth = F.size(F.filter(bounds, lambda b: b <= F.col("at")))
-    placed = draws.withColumn("nth", nth).select("draw", F.element_at(names, F.col("nth")).alias("slice"), (F.col("at") - F.element_at(bounds, F.col("nth"))).alias("at"))
+    bounds, names = np.array([b for b, _ in starts]), np.array([s for _, s in starts], np.int32)
+
+    @F.pandas_udf("slice int, at double")
+    def place(at: pd.Series) -> pd.DataFrame:
+        """The last slice that begins at or before the draw, and the way into it."""
+        nth = np.searchsorted(bounds, at.to_numpy(), side="right") - 1
+        return pd.DataFrame({"slice": names[nth], "at": at.to_numpy() - bounds[nth]})
+
+    placed = draws.select("draw", place("at").alias("to")).select("draw", "to.slice", "to.at")
     order = Window.partitionBy("slice").orderBy("record_id").rowsBetween(Window.unboundedPreceding, 0)
     marks = rows.withColumn("at", F.sum("weight").over(order) - F.col("weight")).select("slice", "at", F.lit(0).alias("kind"), "record_id", "weight")
     both = marks.unionByName(placed.select("slice", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("record_id"), F.lit(None).cast("double").alias("weight")))
