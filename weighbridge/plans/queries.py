@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -584,6 +585,69 @@ def labels(spark, sf):
     return m.select("method", T.method_label(F.col("method")).alias("label"), T.budget_label(F.col("budget_requested")).alias("budget"), "budget_requested")
 
 
+@metrics_query(""" SELECT method, seed, CAST(budget_requested AS BIGINT) AS budget_requested, l2_lambda, CASE WHEN scope = 'overall' THEN 'total' ELSE scope_value END AS level,
+round(max(value) FILTER (WHERE metric = 'n'), 6) AS n, round(max(value) FILTER (WHERE metric = 'mean_are'), 6) AS mean_are, round(max(value) FILTER (WHERE metric = 'median_are'), 6) AS median_are,
+round(max(value) FILTER (WHERE metric = 'max_are'), 6) AS max_are FROM long WHERE split = 'in_sample' AND scope IN ('overall', 'geography') GROUP BY ALL""")
+def accuracy_by_geography(spark, sf):
+    out = report.accuracy_by(frames.scores(spark, sf).where("split = 'in_sample'"), RUN, "geography")
+    return rounded(out.withColumns({"n": F.col("n").cast("double"), "budget_requested": F.col("budget_requested").cast("long")}))
+
+
+@metrics_query(""" SELECT method, seed, CAST(budget_requested AS BIGINT) AS budget_requested, l2_lambda, CASE WHEN scope = 'overall' THEN 'total' ELSE scope_value END AS level,
+round(max(value) FILTER (WHERE metric = 'n'), 6) AS n, round(max(value) FILTER (WHERE metric = 'mean_are'), 6) AS mean_are, round(max(value) FILTER (WHERE metric = 'median_are'), 6) AS median_are,
+round(max(value) FILTER (WHERE metric = 'max_are'), 6) AS max_are FROM long WHERE split = 'out_of_sample' AND scope IN ('overall', 'family') GROUP BY ALL""")
+def accuracy_by_family(spark, sf):
+    out = report.accuracy_by(frames.scores(spark, sf).where("split = 'out_of_sample'"), RUN, "family")
+    return rounded(out.withColumns({"n": F.col("n").cast("double"), "budget_requested": F.col("budget_requested").cast("long")}))
+
+
+@metrics_query(PAIR_SQL + f""", c AS (SELECT *, md - {T2} * sd / sqrt(3) AS lo, md + {T2} * sd / sqrt(3) AS hi FROM q)
+SELECT l2_lambda, CAST(budget_requested AS BIGINT) AS budget_requested, printf('%.4f [%.4f, %.4f]', md, lo, hi) AS cell FROM c""")
+def paired_rows(spark, sf):
+    return report.paired_rows(A.paired_difference(frames.metrics(spark, sf), "informed_l0_refit", "random_reweight")).select("l2_lambda", "budget_requested", "cell")
+
+
+@metrics_query(""", p AS (SELECT metric, l2_lambda, budget_requested, seed, avg(value) FILTER (WHERE method = 'informed_l0_refit') - avg(value) FILTER (WHERE method = 'random_reweight') AS d
+  FROM long WHERE scope = 'overall' AND metric IN ('mean_are', 'median_are') AND split = 'out_of_sample' GROUP BY ALL)
+SELECT l2_lambda, CAST(budget_requested AS BIGINT) AS budget_requested, round(avg(d) FILTER (WHERE metric = 'median_are'), 6) AS median_are_mean_diff, round(avg(d) FILTER (WHERE metric = 'mean_are'), 6) AS mean_are_mean_diff FROM p GROUP BY ALL""")
+def paired_median_and_mean(spark, sf):
+    out = report.paired_median_and_mean(frames.metrics(spark, sf), "informed_l0_refit", "random_reweight")
+    return rounded(out.select("l2_lambda", "budget_requested", "median_are_mean_diff", "mean_are_mean_diff"))
+
+
+@metrics_query(""" SELECT CAST(budget_requested AS BIGINT) AS budget_requested, round(avg(value), 6) AS budget_achieved FROM long WHERE scope = 'run' AND metric = 'budget_achieved' AND method = 'informed_l0' GROUP BY ALL""")
+def presets(spark, sf):
+    return rounded(report.presets(frames.metrics(spark, sf)).select("budget_requested", "budget_achieved"))
+
+
+@query("""SELECT target_name, family, round(abs(achieved - value) / greatest(abs(value), 1), 6) AS scaled_error, round(sqrt(greatest(abs(value), 1)) / 1000, 6) AS loss_weight_k
+FROM (SELECT t.*, coalesce(sum(m.value * w0), 0) AS achieved FROM fx_target t LEFT JOIN fx_matrix m USING (target_name) GROUP BY ALL)""".replace("t.*, coalesce", "t.target_name, t.family, t.value, coalesce"), "fx_matrix", "fx_target")
+def weighted_diagnostics(spark, sf):
+    t, w = frames.targets(spark, sf), table(spark, sf, "fx_record").select("record_id", "w0")
+    run = spark.createDataFrame([("start",)], "method string")
+    scored = matrix.achieved(t, run, matrix.estimates(frames.built_matrix(spark, sf), w.select(F.lit("start").alias("method"), "record_id", F.col("w0").alias("weight")), ["method"]), ["method"])
+    weights = t.select("target_name", F.sqrt(F.greatest(F.abs("value"), F.lit(1.0))).alias("loss_weight"))
+    d = score.target_diagnostics(scored.drop("loss_weight"), weights)
+    return d.select("target_name", "family", F.round(F.col("absolute_error") / F.col("scale"), 6).alias("scaled_error"), F.round(F.col("loss_weight") / 1000, 6).alias("loss_weight_k"))
+
+
+@query("""SELECT record_id, method, seed, budget_requested, round(weight, 6) AS weight FROM fx_weight WHERE method = 'informed_l1'""", "fx_weight")
+def stored_weights(spark, sf):
+    """Weight vectors of some runs written as partitions and read back for two cells."""
+    from ..sources import tables
+
+    w = table(spark, sf, "fx_weight").where("method = 'informed_l1'").withColumns({"holdout_type": F.lit("fixed_family"), "fold": F.lit(-1), "l2_lambda": F.lit(0.0)})
+    path = f"{tables.shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    tables.write_weights(w, path)
+    done = w.select("method", "seed", "budget_requested").distinct()
+    cells = sorted((r["seed"], r["budget_requested"]) for r in done.collect())
+    parts = [tables.read_weights(spark, path, done, method="informed_l1", seed=s, budget_requested=b) for s, b in cells]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("record_id", "method", F.col("seed").cast("int").alias("seed"), F.col("budget_requested").cast("int").alias("budget_requested"), F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT record_id, {U(concat('draw:1:', record_id))} AS u, round(sqrt(-2 * ln({U(concat('z:1:', record_id, ':r'))})) * cos(2 * pi() * {U(concat('z:1:', record_id, ':a'))}), 6) AS z FROM fx_record", "fx_record")
 def hash_uniforms(spark, sf):
     from ..functions.rand import standard_normal
