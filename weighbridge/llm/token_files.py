@@ -37,7 +37,7 @@ class TextCache(PieceCache):
     """A piece cache that leaves texts with an added token in them, as '<|endoftext|>', to ``whole``, which encodes entire texts."""
 
     def __init__(self, encode, added: list[str], whole):
-        super().__init__(encode)
+        super().__init__(encode, 1_500_000)
         self.added, self.whole = added, whole
 
     def __call__(self, texts):
