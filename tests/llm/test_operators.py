@@ -398,7 +398,7 @@ def test_private_data(spark, docs, empty):
         "write to a.b@x.example.com, or call +1 (017) 555-7713 now", "two cards 4485275742308327 4716258050958645 here", "host 10.0.300.1 and 10.0.0.1", None, "",
         'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "a@b@c.d", "1" * 40, "mail jane_7 [at] host [dot] org today", "not one at the dot here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    more = spark.createDataFrame([(1000 + k, prose(40)) for k in range(300)], "doc_id long, text string")
+    more = spark.createDataFrame([(1000 + k, prose(40)) for k in range(900)], "doc_id long, text string")
     model = pii.train(df.unionByName(more))
     got = {r.doc_id: r for r in pii.find(df, model).collect()}
     assert (got[0].n_email, got[0].n_phone, got[2].n_ip, got[1].n_card) == (1, 1, 1, 0)

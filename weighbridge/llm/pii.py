@@ -317,7 +317,10 @@ def _made_up(rng: random.Random, text: str) -> tuple[str, str, int, int, int]:
         else:
             made = _summed(pick("0123456789") + _number(rng, rng.randint(11, 17)))
             left = pick(("-", "/", "_", "x", "0.", "#"))
-        if rng.random() < 0.3:
+        beside = rng.random()
+        if beside > 0.7 and personal:
+            right = f" {_number(rng, 16)} "
+        if beside < 0.3:
             left = f" {_number(rng, 16)} " if personal else f" {_number(rng, rng.randint(2, 9))}{left}"
     elif kind == "phone":
         area, middle, rest = pick("23456789") + _number(rng, 2), _number(rng, 3), _number(rng, 4)
