@@ -11,6 +11,7 @@ from .order_minhash import op5_order_minhash
 from .packing import op7_packing
 from .pii import op8_pii
 from .quality import op9_quality
+from .repeats import op13_repeats
 from .simhash import op1_simhash
 from .token_files import op3_token_files
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLES: dict[str, str] = {
