@@ -7,8 +7,11 @@ from .langid import op6_language
 from .lattice import op2_lattice
 from .licenses import op10_licenses
 from .licenses import oracle as op10_oracle
+from .negatives import ORACLE as op12_oracle
+from .negatives import op12_negatives
 from .order_minhash import op5_order_minhash
 from .packing import op7_packing
+from .periods import op11_periods
 from .pii import op8_pii
 from .quality import op9_quality
 from .repeats import op13_repeats
@@ -26,9 +29,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_periods": op11_periods,
+    "op12_negatives": op12_negatives,
     "op13_repeats": op13_repeats,
 }
 
 ORACLES: dict[str, str] = {
     "op10_licenses": op10_oracle(),
+    "op12_negatives": op12_oracle,
 }
