@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,28 +283,49 @@ def _shards(length: int, most: int):
     return run
 
 
+_STRINGS = "string binary, d1 long, d2 long, start long, n long, sure boolean"
+
+
 def _strings(length: int):
-    """The strings of crowded anchors by digest."""
+    """The strings of crowded anchors by digest; a piece that the batch has had already goes as a whole, as surely repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = _parts(batch, "text")
             text, d1, d2 = memoryview(data), batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                starts = [p for one in found for p in range(one["lo"], one["lo"] + one["n"])]
-                begin = int(at[i])
-                own = [hashlib.blake2b(text[begin + p : begin + p + length], digest_size=16).digest() for p in starts]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([d1[i]] * len(own), pa.int64()), pa.array([d2[i]] * len(own), pa.int64()), pa.array(starts, pa.int64())], names=["string", "d1", "d2", "start"])
+            founds = batch.column("found").to_pylist()
+            pieces = [(i, one["lo"], one["n"], bytes(text[int(at[i]) + one["lo"] : int(at[i]) + one["lo"] + one["n"] + length - 1])) for i, found in enumerate(founds) for one in found]
+            times = Counter(piece for *_, piece in pieces)
+            seen: set[bytes] = set()
+            rows: list[tuple] = []
+            for i, lo, n, piece in pieces:
+                sure = times[piece] > 1
+                if piece in seen:
+                    rows.append((None, d1[i], d2[i], lo, n, True))
+                    continue
+                seen.add(piece)
+                rows += [(hashlib.blake2b(piece[p : p + length], digest_size=16).digest(), d1[i], d2[i], lo + p, 1, sure) for p in range(n)]
+                if len(rows) > 50_000:
+                    yield _string_rows(rows)
+                    rows = []
+            yield _string_rows(rows)
 
     return run
 
 
+def _string_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.binary(), "d1": pa.int64(), "d2": pa.int64(), "start": pa.int64(), "n": pa.int64(), "sure": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def _crowded(found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Starts of repeated strings of anchors that are too frequent for a shard."""
     places = found.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "lo", "n")).alias("found")).hint("shuffle_hash")
-    strings = scratch.written(texts.join(places, _KEY).select("text", *_KEY, "found").mapInArrow(_strings(length), "string binary, d1 long, d2 long, start long"), "strings")
-    many = strings.groupBy("string").count().where("count > 1").select("string")
-    return scratch.finished(hot.join(strings, many, ["string"], [*_KEY, "start"]).select(*_KEY, "start", F.lit(1).cast("long").alias("n")), "crowded", strings)
+    strings = scratch.written(texts.join(places, _KEY).select("text", *_KEY, "found").mapInArrow(_strings(length), _STRINGS), "strings")
+    many = strings.where("string is not null").groupBy("string").agg(F.count("*").alias("times"), F.max("sure").alias("once_more")).where("times > 1 or once_more").select("string")
+    open_ = scratch.written(strings.where("not sure").select("string", *_KEY, "start", "n"), "open-strings")
+    met = hot.join(open_, many, ["string"], [*_KEY, "start"]).select(*_KEY, "start", "n")
+    return scratch.finished(met.unionByName(strings.where("sure").select(*_KEY, "start", "n")), "crowded", strings, open_)
 
 
 def _spans(length: int, with_kept: bool):
@@ -372,13 +394,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     counts = scratch.written(anchors.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1"), "anchor-counts")
     dealt = counts.where(F.col("count") > 10 * hot.PER).orderBy(F.desc("count"), "h").limit(hot.MOST_HOT).select("h", F.ceil(F.col("count") / (10 * hot.PER)).cast("int").alias(hot.PARTS))
     every = anchors.select(*_KEY, F.inline(F.arrays_zip("h", "lo", "n")))
-    found = hot.dealt(every, dealt, ["h"], [*_KEY, "lo"]).join(hot.repeated(counts, dealt, ["h"]), ["h", hot.PART])
-    few = found.where(F.col("count") <= most).groupBy(*_KEY).agg(F.collect_list(F.struct("h", "lo", "n")).alias("found")).hint("shuffle_hash")
+    met = hot.dealt(every, dealt, ["h"], [*_KEY, "lo"]).join(hot.repeated(counts, dealt, ["h"]), ["h", hot.PART])
+    found = scratch.written(met.select(*_KEY, "h", "lo", "n", (F.col("count") > most).alias("crowded")), "found")
+    few = found.where("not crowded").groupBy(*_KEY).agg(F.collect_list(F.struct("h", "lo", "n")).alias("found")).hint("shuffle_hash")
     pieces = texts.join(few, _KEY).select("text", *_KEY, "found").mapInArrow(_cut(length), _PIECES)
     starts = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length, shard), _STARTS)
-    again: list[DataFrame] = [anchors, counts]
-    if counts.where(F.col("count") > most).limit(1).count():
-        crowded = _crowded(found.where(F.col("count") > most).select(*_KEY, "h", "lo", "n"), texts, length)
+    again: list[DataFrame] = [anchors, counts, found]
+    if found.where("crowded").limit(1).count():
+        crowded = _crowded(found.where("crowded"), texts, length)
         again.append(crowded)
         starts = starts.unionByName(crowded)
     per_text = starts.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("found")).hint("shuffle_hash")
