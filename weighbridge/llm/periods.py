@@ -91,10 +91,12 @@ def _suspects(words: np.ndarray, octave: int, first: int, last: int) -> np.ndarr
     return np.unique(at[fits])
 
 
-def solve_tiles(words: np.ndarray, octave: int, first: int, last: int) -> list[tuple[int, int, int]]:
+def solve_tiles(words: np.ndarray, octave: int, first: int, last: int, more: tuple[bool, bool] = (False, False), times: int = TIMES, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Fragments (period, start, end) of stretches of the octave's primitive periods, from the boundaries in [first, last).
 
     A fragment [start, end) holds the places whose word comes again one period later.
+    One that the tile shows to be too short for a run is left out.  more: whether the
+    text goes on before and after ``words``.
     """
     low = 1 << octave
     stride, out = 2 * low, []
@@ -106,7 +108,10 @@ def solve_tiles(words: np.ndarray, octave: int, first: int, last: int) -> list[t
             back = words[max(0, at - stride) : at]
             differ = np.flatnonzero(back != words[at - len(back) + q : at + q])
             start = at - len(back) + (int(differ[-1]) + 1 if len(differ) else 0)
-            out.append((q, start, at + z[q]))
+            # a stretch that ends within the tile on both sides is whole, and a run or none
+            cut = start == at - len(back) and (start > 0 or more[0]) or z[q] + q == len(z) and (at + len(z) < len(words) or more[1])
+            if cut or at + z[q] + q - start >= max(least, times * q):
+                out.append((q, start, at + z[q]))
     return out
 
 
@@ -115,7 +120,7 @@ def octaves(n: int) -> range:
     return range((n // TIMES).bit_length())
 
 
-_DOC = "uid long, doc_id long, n long, plain_sha256 string, words string, q array<long>, lo array<long>, hi array<long>, octave int, at long, until long, offset long, part binary"
+_DOC = "uid long, doc_id long, n long, plain_sha256 string, words string, q array<long>, lo array<long>, hi array<long>, octave int, at long, until long, offset long, ends boolean, part binary"
 
 
 def _solve_texts(tail: Callable[[int | None, int], tuple[int, int] | None] | None, long: int):
@@ -145,10 +150,10 @@ def _solve_texts(tail: Callable[[int | None, int], tuple[int, int] | None] | Non
                     step = max(stride, long // stride * stride)
                     for at in range(0, n, step):
                         begin, until = max(0, at - stride), min(n, at + step)
-                        spans.append((uid, None, None, None, None, None, None, None, k, at - begin, until - begin, begin, words[begin : until + 3 * stride].tobytes()))
+                        spans.append((uid, None, None, None, None, None, None, None, k, at - begin, until - begin, begin, until + 3 * stride >= n, words[begin : until + 3 * stride].tobytes()))
                 q, lo, hi = zip(*own) if own else ((), (), ())
                 kept = joined.decode() if own or spans else None
-                rows.append((uid, doc_id, n, hashlib.sha256(joined).hexdigest(), kept, q, lo, hi, None, None, None, None, None))
+                rows.append((uid, doc_id, n, hashlib.sha256(joined).hexdigest(), kept, q, lo, hi, None, None, None, None, None, None))
                 for span in spans:
                     rows.append(span)
                     size += len(span[-1])
@@ -168,7 +173,7 @@ def _solve_spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for row in frame.itertuples():
             words = np.frombuffer(row.part, np.int32)
-            found += [(row.uid, q, lo + row.offset, hi + row.offset) for q, lo, hi in solve_tiles(words, row.octave, row.at, row.until)]
+            found += [(row.uid, q, lo + row.offset, hi + row.offset) for q, lo, hi in solve_tiles(words, row.octave, row.at, row.until, (row.offset > 0, not row.ends))]
         yield pd.DataFrame(found, columns=["uid", "q", "lo", "hi"])
 
 
@@ -215,7 +220,7 @@ def periodic_runs(docs: DataFrame, tail: Callable[[int | None, int], tuple[int,
     solved = scratch.written(own.mapInPandas(_solve_texts(tail, long), _DOC), "tiles")
     texts = solved.where("octave is null")
     fragments = texts.select("uid", F.inline(F.arrays_zip("q", "lo", "hi")))
-    spans = solved.where("octave is not null").select("uid", "octave", "at", "until", "offset", "part")
+    spans = solved.where("octave is not null").select("uid", "octave", "at", "until", "offset", "ends", "part")
     if spans.limit(1).count():
         fragments = fragments.unionByName(spans.repartition("uid", "octave", "offset").mapInPandas(_solve_spans, "uid long, q long, lo long, hi long"))
     runs = stitched(fragments).groupBy("uid").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs"))
