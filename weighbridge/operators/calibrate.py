@@ -1,11 +1,13 @@
 """Calibration of weights to targets by first-order steps over partitions of records.
 
-The matrix is packed once into sparse blocks, one for each partition of records,
-that stay with their records' state.  An epoch is one job: each partition takes the
-broadcast slope of the loss by target, moves its own records, and returns its part
-of the new estimates, which are summed in a tree.  Only vectors of one number for
-each target and configuration cross the network.  Several configurations (seeds,
-penalties) are columns of one state and advance together.
+Records are dealt by a hash into as many blocks as their cells need, and the matrix
+is packed once, a sparse block in each partition.  The records' state lies apart, in
+partitions of its own that are zipped with the blocks, so that an epoch stores states
+only.  An epoch is one job: each partition takes the broadcast slope of the loss by
+target, moves its own records, and returns its part of the new estimates, which are
+summed in a tree.  Only vectors of one number for each target and configuration cross
+the network.  Several configurations (seeds, penalties) are columns of one state and
+advance together.
 
 The state's lineage is cut every few epochs by a reliable checkpoint, so that a lost
 executor costs a few epochs.
@@ -17,6 +19,7 @@ import hashlib
 import math
 import pickle
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
-from .sample import weighted_sample
+from .sample import draws_at
 from .universe import random_subset, to_full
 
 # The defaults of the published runs.
 EPOCHS, RATE, OPEN_AT_START, TEMPERATURE, DEFAULT_CAP, PRODUCTION_CAP = 1000, 0.02, 0.999, 0.25, 10.0, 1.0
 STRETCH_LOW, STRETCH_HIGH, WEIGHT_JITTER, GATE_JITTER = -0.1, 1.1, 0.05, 0.01
 L1_BRACKET = (1e-3, 1e2)
-#: Records of a block at most.
-MOST_RECORDS = 50_000
+#: Records and cells of a block, about, and records from which a block of its own pays.
+MOST_RECORDS, MOST_CELLS, FEW_RECORDS = 50_000, 2_000_000, 500
+#: A search for a penalty ends when its bracket is no wider than this, as a ratio.
+NARROW = 1.001
 
 
 def resolve_cap(weighting: str, cap: float | None = None) -> float:
@@ -112,7 +117,7 @@ class Block:
 
     def slope(self, by_target: np.ndarray) -> np.ndarray:
         """records x configurations."""
-        return np.stack([np.bincount(self.record, self.value * by_target[self.target, k], len(self.ids)) for k in range(by_target.shape[1])], axis=1)
+        return np.stack([np.bincount(self.record, self.value * by_target[self.target, k], len(self.ids)) for k in range(by_target.shape[1])], axis=1) if len(self.ids) else np.zeros((0, by_target.shape[1]))
 
 
 class State:
@@ -188,7 +193,7 @@ def _step(block: Block, state: State, slope: np.ndarray, configs: list[Config],
     # a soft-threshold configuration steps in relative weight
     soft = [k for k, c in enumerate(configs) if c.l1]
     before = state.theta.copy()
-    state.theta = _adam(state.theta, np.where(np.isfinite(gt), gt, 0.0) * 1.0, state.m, state.v, epoch + 1, options.rate)
+    state.theta = _adam(state.theta, np.where(np.isfinite(gt), gt, 0.0), state.m, state.v, epoch + 1, options.rate)
     for k in soft:
         state.theta[:, k] = before[:, k]
         # plain steps, so that a record's pull keeps its size; n brings the pull of a mean to that of one record
@@ -231,22 +236,36 @@ class Problem:
         n, mass = weights.agg(F.count("*"), F.sum("w0")).first()
         if not n:
             raise ValueError("no records")
-        parts = partitions or max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 500)), -(-n // MOST_RECORDS))
+        parts = partitions or blocks_for(n, matrix.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
         cells = matrix.join(F.broadcast(index), "target_name").select("record_id", "target", "value")
-        cells = weights.select(F.col("record_id").cast("long").alias("record_id"), F.col("w0").cast("double").alias("w0")).join(cells, "record_id", "left").repartition(parts, "record_id").sortWithinPartitions("record_id")
+        own = weights.select(F.col("record_id").cast("long").alias("record_id"), F.col("w0").cast("double").alias("w0"))
+        dealt = own.join(cells, "record_id", "left").withColumn("block", F.pmod(F.xxhash64("record_id"), F.lit(parts)).cast("int"))
+        # the partition is named, so that neither the join's own dealing nor adaptive execution can merge blocks
+        dealt = dealt.repartitionById(parts, F.col("block")).sortWithinPartitions("record_id").select("record_id", "w0", "target", "value")
 
         def block(frames):
-            held = pd.concat(list(frames), ignore_index=True)
-            ids, at = held["record_id"].to_numpy(), np.flatnonzero(np.diff(held["record_id"].to_numpy(), prepend=held["record_id"].iat[0] - 1 if len(held) else 0))
+            frames = [f for f in frames if len(f)]
+            if not frames:
+                none = np.zeros(0)
+                yield pd.DataFrame({"block": [pickle.dumps(Block(none.astype(np.int64), none, none.astype(np.int64), none.astype(np.int64), none))]})
+                return
+            held = pd.concat(frames, ignore_index=True)
+            ids = held["record_id"].to_numpy()
+            at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             record = np.repeat(np.arange(len(at)), np.diff(at, append=len(ids)))
             there = held["target"].notna().to_numpy()
             own = Block(ids[at], held["w0"].to_numpy()[at], record[there], held["target"].to_numpy()[there].astype(np.int64), held["value"].to_numpy()[there])
             yield pd.DataFrame({"block": [pickle.dumps(own)]})
 
-        blocks = cells.mapInPandas(block, "block binary").rdd.map(lambda row: pickle.loads(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = dealt.mapInPandas(block, "block binary").rdd.map(lambda row: pickle.loads(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
         return cls(names, np.array([rows[k] for k in names]), omega, int(n), float(mass), blocks)
 
 
+def blocks_for(records: int, cells: int, at_once: int) -> int:
+    """Blocks for so many records and cells: enough for memory, and for ``at_once`` tasks where each has some work."""
+    return max(1, min(at_once, -(-records // FEW_RECORDS)), -(-records // MOST_RECORDS), -(-cells // MOST_CELLS))
+
+
 @dataclass
 class Fit:
     """Weights (configuration, record_id, weight; zeros left out), losses by epoch, and the final loss of each configuration."""
@@ -271,11 +290,11 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
     def start(block: Block):
         state = State(block, configs)
         w, _, _ = state.weights(block, configs, 0)
-        return block, state, block.estimate(w, m), w.sum(axis=0), np.zeros(r)
+        return state, block.estimate(w, m), w.sum(axis=0), np.zeros(r)
 
     def advance(shared, epoch):
         def run(row):
-            block, state, _, _, _ = row
+            block, (state, _, _, _) = row
             slope, scale = shared.value
             if scale is not None:  # conserve: the weights are brought back to the input mass
                 state.theta += np.log(scale)[None, :]
@@ -283,42 +302,42 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
             _step(block, state, slope, configs, options, epoch, n)
             w, _, _ = state.weights(block, configs, epoch + 1)
             opened = np.array([open_chance(state.gate[:, k], c.temperature).sum() if c.l0 else float((w[:, k] > 0).sum()) for k, c in enumerate(configs)])
-            return block, state, block.estimate(w, m), w.sum(axis=0), opened
+            return state, block.estimate(w, m), w.sum(axis=0), opened
 
         return run
 
     add = lambda a, b: tuple(x + y for x, y in zip(a, b))
-    rows = problem.blocks.map(start).persist(StorageLevel.MEMORY_AND_DISK)
-    estimate, mass, _ = rows.map(lambda x: x[2:]).treeReduce(add)
+    states = problem.blocks.map(start).persist(StorageLevel.MEMORY_AND_DISK)
+    estimate, mass, _ = states.map(lambda x: x[1:]).treeReduce(add)
     history: list[tuple[int, int, float, float]] = []
     for epoch in range(options.epochs):
         scale = problem.mass / np.maximum(mass, 1e-300) if options.mass == "conserve" else None
         loss, slope = loss_of(estimate * (scale[None, :] if scale is not None else 1.0), problem.value, problem.omega, options.cap)
         shared = sc.broadcast((slope, scale))
-        after = rows.map(advance(shared, epoch)).persist(StorageLevel.MEMORY_AND_DISK)
+        after = problem.blocks.zip(states).map(advance(shared, epoch)).persist(StorageLevel.MEMORY_AND_DISK)
         if (epoch + 1) % options.checkpoint_every == 0:
             after.checkpoint()
-        estimate, mass, opened = after.map(lambda x: x[2:]).treeReduce(add)
+        estimate, mass, opened = after.map(lambda x: x[1:]).treeReduce(add)
         history += [(k, epoch, float(loss[k]), float(opened[k])) for k in range(r)]
-        rows.unpersist()
-        rows = after
+        states.unpersist()
+        states = after
         shared.unpersist()
 
     def final(row):
-        block, state = row[:2]
+        block, state = row[0], row[1][0]
         w, _, _ = state.weights(block, configs, None)
-        return block, w, block.estimate(w, m), w.sum(axis=0)
+        return block.ids, w, block.estimate(w, m), w.sum(axis=0)
 
-    ended = rows.map(final).persist(StorageLevel.MEMORY_AND_DISK)
+    ended = problem.blocks.zip(states).map(final).persist(StorageLevel.MEMORY_AND_DISK)
     estimate, mass = ended.map(lambda x: x[2:]).treeReduce(add)
     scale = np.where(mass > 0, problem.mass / np.maximum(mass, 1e-300), 1.0) if options.mass == "conserve" else np.ones(r)
     loss, _ = loss_of(estimate * scale[None, :], problem.value, problem.omega, options.cap)
     path = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
 
     def columns(row):
-        block, w = row[:2]
+        ids, w = row[:2]
         k, i = np.nonzero(w.T > 0)
-        return (pickle.dumps((k.astype(np.int32), block.ids[i], w[i, k] * scale[k])),)
+        return (pickle.dumps((k.astype(np.int32), ids[i], w[i, k] * scale[k])),)
 
     def told(frames):
         for frame in frames:
@@ -328,7 +347,7 @@ def fit(problem: Problem, configs: list[Config], options: Options) -> Fit:
 
     # a row for each block, opened in batches
     spark.createDataFrame(ended.map(columns), "part binary").mapInPandas(told, "configuration int, record_id long, weight double").write.parquet(path)
-    for held in (rows, ended):
+    for held in (states, ended):
         held.unpersist()
     weights = spark.read.schema("configuration int, record_id long, weight double").parquet(path)
     counts = {x["configuration"]: x["count"] for x in weights.groupBy("configuration").count().collect()}
@@ -350,59 +369,74 @@ def informed_l0(problem: Problem, options: Options, penalties: list[float], seed
     return fit(problem, [Config("informed_l0", seed, l0=p, l2=l2, weight_ratio=weight_ratio, open_at_start=open_at_start, temperature=temperature) for p in penalties], options)
 
 
-def _closest(counts: list[int], target: int) -> int:
-    """The first of the least gaps."""
-    return min(range(len(counts)), key=lambda k: (abs(counts[k] - target), k))
+@dataclass
+class Search:
+    """A search for the penalty of a budget: the fit and configuration that won, its penalty and gap, and all tries (round, penalty, retained, gap)."""
+
+    fit: Fit
+    configuration: int
+    penalty: float
+    retained: int
+    gap: int
+    tries: list[tuple[int, float, int, int]]
+
 
+def search_penalty(run: Callable[[list[float]], Fit], low: float, high: float, target: int, width: int = 6, empty: bool = True, tolerance: int = 0, narrow: float = NARROW) -> Search:
+    """The penalty in [low, high] whose retained count is closest to the target; the earliest of equal gaps.
 
-def _search(run, low: float, high: float, target: int, width: int, rounds: int = 2, empty: bool = True) -> tuple[Fit, int, list[tuple[int, float, int, int]]]:
-    """Grids of log penalties, each finer, between the last that keeps too many and the first that keeps too few.
+    The count falls in steps as the penalty rises.  Each round fits ``width`` log-spaced
+    penalties strictly between the greatest known to keep more than the target and the
+    least known to keep no more, all at once, so that the bracket shrinks by width + 1.
+    It ends when the gap is within ``tolerance`` or the bracket's ends are within a ratio
+    ``narrow`` of each other, not after a number of rounds.
 
-    empty: whether a fit without survivors may win; otherwise the lower bound is the last resort, and an error if it has none either.
+    empty: whether a fit without survivors may win.  If none may, the lower bound is the
+    last resort, and an error if it keeps nothing either.
     """
-    bottom = low
-    record, best = [], None
-    for round_ in range(rounds):
-        grid = np.logspace(math.log10(low), math.log10(high), width)
-        got = run([float(g) for g in grid])
-        record += [(round_, float(g), n, abs(n - target)) for g, n in zip(grid, got.retained)]
-        able = [i for i, n in enumerate(got.retained) if n or empty]
-        k = able[_closest([got.retained[i] for i in able], target)] if able else None
-        if k is not None and (best is None or abs(got.retained[k] - target) < abs(best[0].retained[best[1]] - target)):
-            best = (got, k)
-        if best is not None and best[0].retained[best[1]] == target:
-            break
-        many = [i for i, n in enumerate(got.retained) if n >= target]
-        few = [i for i, n in enumerate(got.retained) if n < target]
-        left = max(many) if many else max(0, (k or 0) - 1)
-        right = min((i for i in few if i > left), default=min(width - 1, left + 1))
-        low, high = float(grid[left]), float(grid[max(right, min(left + 1, width - 1))])
-        if not low < high:
-            break
+    tries: list[tuple[int, float, int, int]] = []
+    best: Search | None = None
+
+    def look(round_: int, grid: list[float]) -> list[int]:
+        nonlocal best
+        got = run(grid)
+        for k, (penalty, n) in enumerate(zip(grid, got.retained)):
+            tries.append((round_, penalty, n, abs(n - target)))
+            if (n or empty) and (best is None or abs(n - target) < best.gap):
+                best = Search(got, k, penalty, n, abs(n - target), tries)
+        return got.retained
+
+    round_ = 0
+    while high / low > narrow and (best is None or best.gap > tolerance):
+        grid = [float(x) for x in np.logspace(math.log10(low), math.log10(high), width + 2)[1:-1]]
+        kept = look(round_, grid)
+        # the first crossing: what lies beyond it isn't looked at again, even where the count is not quite monotone
+        over = next((i for i, n in enumerate(kept) if n <= target), width)
+        low, high = grid[over - 1] if over else low, grid[over] if over < width else high
+        round_ += 1
+    if best is None:
+        look(round_, [low])
     if best is None:
-        got = run([bottom])
-        if not got.retained[0]:
-            raise ValueError(f"no record survives even at the lower bound {bottom:g}")
-        best = (got, 0)
-    return best[0], best[1], record
+        raise ValueError(f"no record survives even at the lower bound {low:g}")
+    return best
 
 
-def informed_l0_at_budget(problem: Problem, options: Options, target_records: int, seed: int = 0, shares: tuple[float, float] = (0.3, 8.0), width: int = 6, **settings) -> tuple[Fit, int, list]:
-    """The penalty whose retained count is closest to the budget; returns the fit, its configuration and the search record."""
+def informed_l0_at_budget(problem: Problem, options: Options, target_records: int, seed: int = 0, shares: tuple[float, float] = (0.3, 8.0), width: int = 6, tolerance: int = 0, **settings) -> Search:
+    """The L0 penalty whose retained count is closest to the budget."""
     run = lambda grid: informed_l0(problem, options, grid, seed, **settings)
-    return _search(run, shares[0] / problem.n, shares[1] / problem.n, target_records, width)
+    return search_penalty(run, shares[0] / problem.n, shares[1] / problem.n, target_records, width, tolerance=tolerance)
 
 
-def informed_l1_at_budget(problem: Problem, options: Options, target_records: int, seed: int = 0, bracket: tuple[float, float] = L1_BRACKET, width: int = 6) -> tuple[Fit, int, list]:
+def informed_l1_at_budget(problem: Problem, options: Options, target_records: int, seed: int = 0, bracket: tuple[float, float] = L1_BRACKET, width: int = 6, tolerance: int = 0) -> Search:
     """Soft-threshold weights at the penalty whose retained count is closest to the budget."""
     low, high = bracket
     if not (0 < low <= high and math.isfinite(high)):
         raise ValueError("the bracket must be positive, finite and ascending")
     run = lambda grid: fit(problem, [Config("informed_l1", seed, l1=g) for g in grid], options)
-    return _search(run, low, high, target_records, width if low < high else 1, rounds=3, empty=False)
+    return search_penalty(run, low, high, target_records, width, empty=False, tolerance=tolerance)
 
 
-def _one(fits: Fit, k: int) -> DataFrame:
+def weights_of(fits: Fit, k: int) -> DataFrame:
+    """(record_id, weight) of one configuration; records of weight 0 are left out."""
     return fits.weights.where(F.col("configuration") == k).select("record_id", "weight")
 
 
@@ -414,7 +448,7 @@ def post_selection_refit(matrix: DataFrame, weights: DataFrame, targets: DataFra
         raise ValueError("no record survived the selection")
     problem = Problem.build(matrix.join(kept.select("record_id"), "record_id", "left_semi"), kept, targets, loss_weights, options.partitions)
     got = calibrate_dense(problem, options, seed)
-    return to_full(weights, _one(got, 0)), got
+    return to_full(weights, weights_of(got, 0)), got
 
 
 def random_reweight(matrix: DataFrame, weights: DataFrame, targets: DataFrame, n: int, seed: int, options: Options, loss_weights: DataFrame | None = None) -> tuple[DataFrame, Fit]:
@@ -424,14 +458,15 @@ def random_reweight(matrix: DataFrame, weights: DataFrame, targets: DataFrame, n
     kept = random_subset(weights, n, seed, "random").withColumn("w0", F.lit(float(total) / n))
     problem = Problem.build(matrix.join(kept.select("record_id"), "record_id", "left_semi"), kept, targets, loss_weights, options.partitions)
     got = calibrate_dense(problem, options, seed)
-    return to_full(weights, _one(got, 0)), got
+    return to_full(weights, weights_of(got, 0)), got
 
 
-def dense_then_sample(problem: Problem, weights: DataFrame, budgets: list[int], seed: int, options: Options, replace_: bool = True) -> tuple[Fit, dict[int, tuple[DataFrame, dict]]]:
-    """One dense fit, sampled at every budget."""
+def dense_then_sample(problem: Problem, budgets: list[int], seed: int, options: Options) -> tuple[Fit, DataFrame]:
+    """One dense fit, drawn with replacement at every budget in one pass: (budget, record_id, draws, weight), each draw with an equal share of the mass."""
     got = calibrate_dense(problem, options, seed)
-    dense = _one(got, 0)
-    return got, {b: weighted_sample(dense, b, seed, replace_) for b in budgets}
+    dense = weights_of(got, 0)
+    total = float(dense.agg(F.sum("weight")).first()[0])
+    return got, draws_at(dense, budgets, seed).select("budget", "record_id", "draws", (F.col("draws") * total / F.col("budget")).alias("weight"))
 
 
 def with_options(options: Options, **changes) -> Options:

@@ -10,6 +10,10 @@ from . import aggregate as A
 from .objective import across_seeds, summarize
 
 
+#: What a summary keeps of a score.
+SCORE_FIELDS = ("n", "mean_are", "median_are", "max_are")
+
+
 def method_comparison(scores: DataFrame, weights: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each method of a run: retained records, errors inside and outside, effective size, greatest weight, time."""
     overall = scores.where("scope = 'overall'").groupBy(*keys).pivot("split", ["in_sample", "out_of_sample"]).agg(F.avg("mean_are"))
@@ -110,10 +114,83 @@ def series(rows: DataFrame, diagnostics: DataFrame, holdout_type: str = "fixed_f
         "objective": across_seeds(summarize(diagnostics, ["method", "l2_lambda", "budget_requested", "seed"]), ["method", "l2_lambda", "budget_requested"]),
         "mean": A.frontier(rows, holdout_type, "mean_are"), "median": A.frontier(rows, holdout_type, "median_are"),
         "ess": A.run_metric(rows, "ess", holdout_type), "max_weight": A.run_metric(rows, "max_weight", holdout_type),
+        "by_family": A.sliced(rows, holdout_type, None, "family", "mean_are").groupBy("split", "method", "l2_lambda", "budget_requested", F.col("scope_value").alias("family")).agg(F.avg("value").alias("value")),
+        "operability": operability_by_budget(rows, holdout_type),
         "gap": A.generalization_gap(rows, holdout_type=holdout_type), "cost": cost.join(error, ["method", "l2_lambda", "budget_requested"]),
     }
 
 
+def operability_by_budget(rows: DataFrame, holdout_type: str = "fixed_family") -> DataFrame:
+    """For each method, penalty and budget: effective sample size, greatest weight, and errors inside and outside of the fit, in one pass."""
+    own = rows.where(F.col("holdout_type") == holdout_type)
+    at = lambda metric, scope, **more: A.at(own, metric=metric, scope=scope, **more)
+    return own.groupBy("method", "l2_lambda", "budget_requested").agg(
+        at("ess", "run").alias("ess"), at("max_weight", "run").alias("max_weight"), at("mean_are", "overall", split="in_sample").alias("mean_are_in"),
+        at("mean_are", "overall", split="out_of_sample").alias("mean_are_out"), at("median_are", "overall", split="out_of_sample").alias("median_are_out"))
+
+
 def manifest_methods(manifest: DataFrame) -> DataFrame:
     """One row for each method of a manifest with a map ``methods``."""
     return manifest.select("run_id", F.explode("methods").alias("method", "result")).select("run_id", "method", T.method_order(F.col("method")).alias("position"), "result.*").orderBy("position", "method")
+
+
+def method_rows(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each run of nested summaries: overall errors inside and outside of the fit."""
+    side = lambda s: [F.col(f"{s}.overall.{c}").alias(f"{s}_{c}") for c in SCORE_FIELDS]
+    return summaries.select(*keys, *side("in_sample"), *side("out_of_sample")).withColumn("position", T.method_order(F.col("method"))).orderBy("position", *keys)
+
+
+def family_rows(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each run, split and family of nested summaries."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"{s}.by_family").alias("families")) for s in ("in_sample", "out_of_sample")])).alias("side")
+    return summaries.select(*keys, sides).select(*keys, "side.split", F.explode("side.families").alias("family", "stats")).select(*keys, "split", "family", "stats.*")
+
+
+def sweep_tables(rows: DataFrame, validation_only: list[str], challenger: str, split: str, penalties: list[float], methods: list[str], baseline: str = "random_reweight", has_rotation: bool = False) -> dict[str, DataFrame]:
+    """The table set of a sweep: frontiers of both splits with a cell for each method and penalty, the paired comparison, and the rotation where there is one."""
+    front = A.frontier(rows)
+    out = {f"frontier_{s}": frontier_pivot(front, s, methods, penalties) for s in ("out_of_sample", "in_sample")}
+    out["paired_comparison"] = paired_rows(A.paired_difference(rows, challenger, baseline, split=split))
+    if has_rotation:
+        rotated = A.rotation_frontier(rows, validation_only).withColumns({"split": F.lit("out_of_sample"), "budget_achieved": F.col("budget_requested").cast("double")})
+        out["frontier_rotation"] = frontier_pivot(rotated, "out_of_sample", methods, penalties)
+    return out
+
+
+def result_tables(rows: DataFrame, budget: int, method: str, split: str, baseline: str = "random_reweight") -> dict[str, DataFrame]:
+    """The curated tables of a report at one budget."""
+    return {
+        "sampling_comparison": anchor_comparison(rows, budget), "calibration_accuracy": geography_at_anchor(rows, method, budget, split),
+        "presets": presets(rows), "paired_comparison": paired_median_and_mean(rows, method, baseline, split=split),
+    }
+
+
+def summary_bundle(rows: DataFrame, diagnostics: DataFrame, validation_only: list[str], cap: float = 1.0, baseline: str = "random_reweight", top: int = 15) -> tuple[dict, dict[str, DataFrame]]:
+    """All frames of a sweep's summary over written metric and diagnostic rows, and the choices that they rest on.
+
+    One row is collected for the choices (headline split and method, anchor budget,
+    penalties, methods); a frame that its input has nothing for is left out.
+    """
+    chosen = A.headline_split(rows).crossJoin(A.headline_method(rows)).crossJoin(A.anchor_budget(rows)).first()  # one row each
+    s = lambda c: F.sort_array(F.collect_set(c)).alias(c)
+    has = lambda cond: F.coalesce(F.max(cond), F.lit(False))
+    there = rows.agg(s("method"), s("l2_lambda"), s("budget_requested"), s("seed"), has(F.col("holdout_type") == "rotation").alias("rotation"), has(F.col("metric") == "mean_are_ex_degenerate").alias("degenerate")).first()
+    split, method, budget = chosen["split"], chosen["method"], chosen["budget_requested"]
+    choices = {"split": split, "method": method, "anchor_budget": budget, "methods": there["method"], "l2_lambdas": there["l2_lambda"], "budgets": there["budget_requested"], "n_seeds": len(there["seed"])}
+    own = diagnostics.where(F.col("split") == split)
+    keys = ["method", "split", "l2_lambda", "budget_requested"]
+    frames = {
+        "objective_by_budget": across_seeds(summarize(own, [*keys, "seed"], cap), keys), "median_by_budget": A.frontier(rows, metric="median_are"), "mean_by_budget": A.frontier(rows),
+        "paired": A.paired_difference(rows, method, baseline, split=split), "macro": A.macro_average(rows, split=split),
+        "attribution": A.top_contributors(own, top, split=split, l2=min(there["l2_lambda"], default=0.0)),
+    }
+    if there["degenerate"]:
+        frames["sensitivity"] = degenerate_sensitivity(rows)
+    if there["rotation"]:
+        frames["rotation"] = A.rotation_frontier(rows, validation_only)
+        frames["rotation_by_fold"] = rotation_table(rows, there["method"])
+    if budget is not None:
+        frames |= {f"result_{k}": v for k, v in result_tables(rows, budget, method, split, baseline).items()}
+    frames |= {f"sweep_{k}": v for k, v in sweep_tables(rows, validation_only, method, split, there["l2_lambda"], there["method"], baseline, there["rotation"]).items()}
+    frames |= {f"series_{k}": v for k, v in series(rows, diagnostics).items()}
+    return choices, frames

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
+from .order_statistics import least
 from .universe import random_subset
 
 SLICES = 4096
@@ -21,12 +22,19 @@ def _positive_total(weights: DataFrame) -> float:
 
 
 def draw_with_replacement(weights: DataFrame, n: int, seed: int) -> DataFrame:
-    """(record_id, weight, draws): exactly n draws with chances in proportion to the weights.
+    """(record_id, weight, draws): exactly n draws with chances in proportion to the weights."""
+    return draws_at(weights, [n], seed).select("record_id", "drawn_weight", "draws").withColumnRenamed("drawn_weight", "weight")
+
+
+def draws_at(weights: DataFrame, budgets: list[int], seed: int) -> DataFrame:
+    """(budget, record_id, drawn_weight, draws) of several budgets in one pass: a budget's draws are the first of the largest budget's.
 
     Records are dealt into slices by a hash; a slice holds a stretch of the line of
     cumulative weight.  Totals of the slices, which are few, place each draw in its
     slice, where the draws are merged with the records' own cumulative weights.
     """
+    budgets = sorted(set(budgets))
+    n = budgets[-1]
     total = _positive_total(weights)
     rows = weights.where("weight > 0").select("record_id", "weight", F.floor(uniform("slice", seed, F.col("record_id")) * SLICES).cast("int").alias("slice"))
     sums = rows.groupBy("slice").agg(F.sum("weight").alias("held"))
@@ -44,17 +52,19 @@ def draw_with_replacement(weights: DataFrame, n: int, seed: int) -> DataFrame:
 
     placed = draws.select("draw", place("at").alias("to")).select("draw", "to.slice", "to.at")
     order = Window.partitionBy("slice").orderBy("record_id").rowsBetween(Window.unboundedPreceding, 0)
-    marks = rows.withColumn("at", F.sum("weight").over(order) - F.col("weight")).select("slice", "at", F.lit(0).alias("kind"), "record_id", "weight")
-    both = marks.unionByName(placed.select("slice", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("record_id"), F.lit(None).cast("double").alias("weight")))
+    marks = rows.withColumn("at", F.sum("weight").over(order) - F.col("weight")).select("slice", "at", F.lit(0).alias("kind"), "record_id", "weight", F.lit(None).cast("long").alias("draw"))
+    both = marks.unionByName(placed.select("slice", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("record_id"), F.lit(None).cast("double").alias("weight"), "draw"))
     walk = Window.partitionBy("slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.select("kind", F.last(F.when(F.col("kind") == 0, F.struct("record_id", "weight")), ignorenulls=True).over(walk).alias("hit")).where("kind = 1")
-    return found.groupBy(F.col("hit.record_id").alias("record_id")).agg(F.first("hit.weight").alias("weight"), F.count("*").alias("draws"))
+    found = both.select("kind", "draw", F.last(F.when(F.col("kind") == 0, F.struct("record_id", "weight")), ignorenulls=True).over(walk).alias("hit")).where("kind = 1")
+    counts = [F.struct(F.lit(b).cast("long").alias("budget"), F.count_if(F.col("draw") < b).alias("draws")) for b in budgets]
+    by_record = found.groupBy(F.col("hit.record_id").alias("record_id")).agg(F.first("hit.weight").alias("drawn_weight"), F.array(*counts).alias("at"))
+    return by_record.select("record_id", "drawn_weight", F.inline("at")).where("draws > 0").select("budget", "record_id", "drawn_weight", "draws")
 
 
 def draw_without_replacement(weights: DataFrame, n: int, seed: int) -> DataFrame:
     """(record_id, weight, draws): the n records with the least -ln(u) / weight."""
     keyed = weights.where("weight > 0").select("record_id", "weight", (-F.ln(uniform("pps", seed, F.col("record_id"))) / F.col("weight")).alias("key"))
-    return keyed.orderBy("key", "record_id").limit(n).select("record_id", "weight", F.lit(1).cast("long").alias("draws"))
+    return least(keyed, "key", "record_id", n).select("record_id", "weight", F.lit(1).cast("long").alias("draws"))
 
 
 def equal_mass(drawn: DataFrame, total: float, n: int) -> DataFrame:

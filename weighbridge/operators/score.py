@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import schemas
+from .order_statistics import quantiles
 
 
 def target_scale(value: Column) -> Column:
@@ -71,9 +72,9 @@ def weight_diagnostics(weights: DataFrame, run_keys: list[str], runs: DataFrame
     kept = weights.where("weight > 0")
     out = kept.groupBy(*run_keys).agg(
         F.count("*").alias("n_selected"), F.sum("weight").alias("weight_sum"), (F.pow(F.sum("weight"), F.lit(2.0)) / F.sum(F.col("weight") * F.col("weight"))).alias("ess"),
-        F.min("weight").alias("min_weight"), F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"),
-        F.percentile("weight", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("__q"))
-    out = out.select(*run_keys, "n_selected", "weight_sum", "ess", "min_weight", "mean_weight", "max_weight", *[F.col("__q")[k].alias(p) for k, p in enumerate(("p50_weight", "p90_weight", "p99_weight"))])
+        F.min("weight").alias("min_weight"), F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"))
+    names = {"q0": "p50_weight", "q1": "p90_weight", "q2": "p99_weight"}
+    out = out.join(quantiles(kept, run_keys, "weight", [0.5, 0.9, 0.99]).withColumnsRenamed(names), run_keys)
     if runs is not None:
         out = runs.select(*run_keys).distinct().join(out, run_keys, "left").na.fill(0)
     return out

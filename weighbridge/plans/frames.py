@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matrix, score
 from ..operators.universe import Universe
 from ..sources.fixtures import table
-from ..sources.tables import shared_folder
+from ..sources.tables import dropped, kept, shared_folder  # noqa: F401
 
 RUN = ["method", "seed", "budget_requested", "l2_lambda"]
 MOST_TARGETS = 1_000_000
 FOLD_OF = {"balance": 0, "population": 0, "activity": 1, "segment": 1}
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the session's shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def universe(spark: SparkSession, sf_dir: str) -> Universe:
     """Customers as weighted records, orders as their members."""
     record = table(spark, sf_dir, "fx_record")

@@ -51,29 +51,30 @@ def precalibrate(universe: U.Universe, facts: DataFrame, period: int, identity:
 def run_methods(built: DataFrame, weights: DataFrame, targets: DataFrame, budget: int, seed: int, options: K.Options, methods: list[str], loss_weights: DataFrame | None = None, width: int = 4) -> tuple[DataFrame, DataFrame]:
     """Weights (method, seed, budget_requested, record_id, weight) and run values of the chosen methods.
 
-    The baselines are matched to the number of records that L0 retains.
+    The baselines are matched to the number of records that L0 retains, which is searched to a hundredth of the budget.
     """
     spark = built.sparkSession
     problem = K.Problem.build(built, weights, targets, loss_weights, options.partitions)
+    tolerance = max(1, budget // 100)
     done: list[tuple[str, DataFrame, int, float]] = []
     matched = budget
     selection = None
     if {"informed_l0", "informed_l0_refit"} & set(methods):
-        got, k, _ = K.informed_l0_at_budget(problem, options, budget, seed, width=width, open_at_start=0.8)
-        selection, matched = got.weights.where(F.col("configuration") == k).select("record_id", "weight"), got.retained[k] or budget
-        done.append(("informed_l0", selection, got.retained[k], got.loss[k]))
+        found = K.informed_l0_at_budget(problem, options, budget, seed, width=width, tolerance=tolerance, open_at_start=0.8)
+        selection, matched = K.weights_of(found.fit, found.configuration), found.retained or budget
+        done.append(("informed_l0", selection, found.retained, found.fit.loss[found.configuration]))
     if "informed_l0_refit" in methods and selection is not None:
         full, refit = K.post_selection_refit(built, weights, targets, selection, options, loss_weights, seed)
         done.append(("informed_l0_refit", full.where("weight > 0"), refit.retained[0], refit.loss[0]))
     if "informed_l1" in methods:
-        got, k, _ = K.informed_l1_at_budget(problem, options, matched, seed, width=width)
-        done.append(("informed_l1", got.weights.where(F.col("configuration") == k).select("record_id", "weight"), got.retained[k], got.loss[k]))
+        found = K.informed_l1_at_budget(problem, options, matched, seed, width=width, tolerance=tolerance)
+        done.append(("informed_l1", K.weights_of(found.fit, found.configuration), found.retained, found.fit.loss[found.configuration]))
     if "random_reweight" in methods:
         full, got = K.random_reweight(built, weights, targets, matched, seed, options, loss_weights)
         done.append(("random_reweight", full.where("weight > 0"), got.retained[0], got.loss[0]))
     if "dense_sample" in methods:
-        got, sampled = K.dense_then_sample(problem, weights, [matched], seed, options)
-        done.append(("dense_sample", sampled[matched][0], sampled[matched][1]["n_selected"], got.loss[0]))
+        got, sampled = K.dense_then_sample(problem, [matched], seed, options)
+        done.append(("dense_sample", sampled.select("record_id", "weight"), matched, got.loss[0]))
     out = None
     for method, w, _, _ in done:
         if method in methods:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,12 @@ from ..functions import text as T
 from ..functions.rand import uniform
 from ..operators import aggregate as A
 from ..operators import calibrate as K
-from ..operators import folds, matrix, objective, report, runs, sample, score
+from ..operators import folds, matrix, objective, report, runs, sample, score, sweep
 from ..operators import targets as targets_
 from ..operators import universe as U
+from ..sources import state as state_
 from ..sources.fixtures import duckdb, table
+from ..sources.state import Artifacts
 from . import frames, pipelines
 from .frames import METRICS_SQL, RUN, SCORES_SQL
 
@@ -689,32 +692,80 @@ s{t} AS (SELECT record_id, theta - {rate}::DOUBLE * (m / (1 - pow(0.9::DOUBLE, {
     return "WITH " + ",\n".join(out) + f"\nSELECT record_id, round(exp(theta), 3) AS weight FROM s{epochs}"
 
 
-@query(_dense_sql(6), "fx_matrix", "fx_target", "fx_record")
+@query(_dense_sql(40), "fx_matrix", "fx_target", "fx_record")
 def calibrate_dense(spark, sf):
-    o = _options(6)
+    o = _options(40)
     return K.calibrate_dense(_problem(spark, sf, o)[3], o).weights.select("record_id", F.round("weight", 3).alias("weight"))
 
 
-@query("SELECT count(*) AS n_records, true AS near_budget, true AS refit_inside, true AS refit_better, true AS searched FROM fx_record", "fx_record")
+@query("SELECT count(*) AS n_records, true AS near_budget, true AS refit_inside, true AS refit_better, true AS ended FROM fx_record", "fx_record")
 def calibrate_l0(spark, sf):
     o = _options(120)
     m, w, t, p = _problem(spark, sf, o)
     budget = p.n // 3
-    got, k, record = K.informed_l0_at_budget(p, o, budget, shares=(1.0, 30.0), open_at_start=0.8)
-    selection = got.weights.where(F.col("configuration") == k).select("record_id", "weight")
+    found = K.informed_l0_at_budget(p, o, budget, shares=(1.0, 30.0), tolerance=budget // 50, open_at_start=0.8)
+    selection = K.weights_of(found.fit, found.configuration)
     full, refit = K.post_selection_refit(m, w, t, selection, o)
     outside = full.where("weight > 0").join(selection, "record_id", "left_anti").count()
-    return spark.createDataFrame([(full.count(), abs(got.retained[k] - budget) <= 0.1 * budget, outside == 0, refit.loss[0] < got.loss[k], len(record) >= 4)], "n_records long, near_budget boolean, refit_inside boolean, refit_better boolean, searched boolean")
+    least = min(gap for _, _, _, gap in found.tries)
+    return spark.createDataFrame([(full.count(), found.gap <= 0.02 * budget, outside == 0, refit.loss[0] < found.fit.loss[found.configuration], found.gap == least)], "n_records long, near_budget boolean, refit_inside boolean, refit_better boolean, ended boolean")
 
 
-@query("SELECT count(*) AS n_records, true AS near_budget, true AS finite_loss FROM fx_record", "fx_record")
+@query("SELECT count(*) AS n_records, CAST(count(*) // 2 AS BIGINT) AS budget, true AS near_budget, true AS finite_loss FROM fx_record", "fx_record")
 def calibrate_l1(spark, sf):
+    """To a hundredth of the budget."""
     o = _options(60)
     _, w, _, p = _problem(spark, sf, o)
     budget = p.n // 2
-    got, k, _ = K.informed_l1_at_budget(p, o, budget)
-    full = U.to_full(w, got.weights.where(F.col("configuration") == k))
-    return spark.createDataFrame([(full.count(), abs(got.retained[k] - budget) <= 0.1 * budget, 0 <= got.loss[k] <= 1)], "n_records long, near_budget boolean, finite_loss boolean")
+    found = K.informed_l1_at_budget(p, o, budget, tolerance=budget // 100)
+    full = U.to_full(w, K.weights_of(found.fit, found.configuration))
+    return spark.createDataFrame([(full.count(), budget, abs(full.where("weight > 0").count() - budget) <= 0.01 * budget, 0 <= found.fit.loss[found.configuration] <= 1)], "n_records long, budget long, near_budget boolean, finite_loss boolean")
+
+
+def _l1_round(name: str, epochs: int, rate: float = 0.15, cap: float = 1.0) -> str:
+    """Epochs of soft-threshold steps at each penalty of the clause grid_<name> (k, penalty), written out, and the counts that they keep."""
+    out = [f"{name}0 AS (SELECT k, penalty, record_id, w0, w0 AS w FROM fx_record CROSS JOIN grid_{name})"]
+    for t in range(epochs):
+        step = rate / (1 + t) ** 0.5
+        out.append(f"""{name}e{t} AS (SELECT k, target_name, sum(value * w) AS est FROM mx JOIN {name}{t} USING (record_id) GROUP BY ALL),
+{name}d{t} AS (SELECT k, target_name, CASE WHEN abs((est - value) / scale) < {cap} THEN sign(est - value) * share / scale ELSE 0 END AS slope FROM tg JOIN {name}e{t} USING (target_name)),
+{name}g{t} AS (SELECT k, record_id, sum(value * slope) AS g FROM mx JOIN {name}d{t} USING (target_name) GROUP BY ALL),
+{name}{t + 1} AS (SELECT k, penalty, record_id, w0, greatest(w / w0 - {step!r}::DOUBLE * n * coalesce(g, 0) * w0 - {step!r}::DOUBLE * penalty, 0) * w0 AS w FROM {name}{t} LEFT JOIN {name}g{t} USING (k, record_id) CROSS JOIN size)""")
+    out.append(f"kept_{name} AS (SELECT k, penalty, count(*) FILTER (WHERE w > 0) AS retained FROM {name}{epochs} GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def _l1_search_sql(epochs: int = 4, width: int = 4, low: float = 1e-3, high: float = 1e2) -> str:
+    """Two rounds of the search: the second one's grid lies between the neighbours of the first crossing of the first."""
+    fitted = ", ".join(f"'{f}'" for f in FITTED)
+    grid = f"(SELECT i AS k, pow(10, lo + (hi - lo) * (i + 1) / {width + 1}) AS penalty FROM {{ends}} CROSS JOIN range({width}) AS r(i))"
+    return f"""WITH mx AS (SELECT m.target_name, record_id, m.value FROM fx_matrix m JOIN fx_target t USING (target_name) WHERE t.family IN ({fitted}) AND m.value <> 0),
+tg AS (SELECT target_name, value, greatest(abs(value), 1) AS scale, 1.0::DOUBLE / count(*) OVER () AS share FROM fx_target WHERE family IN ({fitted})),
+size AS (SELECT count(*) AS n, CAST(count(*) // 2 AS BIGINT) AS budget FROM fx_record),
+ends_a AS (SELECT log10({low}::DOUBLE) AS lo, log10({high}::DOUBLE) AS hi),
+grid_a AS {grid.format(ends="ends_a")},
+{_l1_round("a", epochs)},
+crossed AS (SELECT coalesce(min(k) FILTER (WHERE retained <= budget), {width}) AS k FROM kept_a CROSS JOIN size),
+ends_b AS (SELECT coalesce(max(log10(penalty)) FILTER (WHERE a.k = c.k - 1), log10({low}::DOUBLE)) AS lo, coalesce(max(log10(penalty)) FILTER (WHERE a.k = c.k), log10({high}::DOUBLE)) AS hi FROM kept_a a CROSS JOIN crossed c),
+grid_b AS {grid.format(ends="ends_b")},
+{_l1_round("b", epochs)},
+tries AS (SELECT 0 AS round, * FROM kept_a UNION ALL SELECT 1, * FROM kept_b)
+SELECT round AS search_round, CAST(k AS BIGINT) AS nth, round(log10(penalty), 6) AS log_penalty, retained, abs(retained - budget) AS gap, row_number() OVER (ORDER BY abs(retained - budget), round, k) = 1 AS chosen FROM tries CROSS JOIN size"""
+
+
+@query(_l1_search_sql(), "fx_matrix", "fx_target", "fx_record")
+def l1_search(spark, sf):
+    """All tries of a search of two rounds, and the one that won."""
+    o = _options(4)
+    p = _problem(spark, sf, o)[3]
+    run = lambda grid: K.fit(p, [K.Config("informed_l1", 0, l1=g) for g in grid], o)
+    # a bracket of five decades is cut to a fifth twice; nothing is near enough to end it earlier
+    found = K.search_penalty(run, 1e-3, 1e2, p.n // 2, width=4, empty=False, tolerance=-1, narrow=10**0.21)
+    nth, rows = {}, []
+    for round_, penalty, retained, gap in found.tries:
+        k = nth[round_] = nth.get(round_, -1) + 1
+        rows.append((round_, k, round(float(np.log10(penalty)), 6), retained, gap, penalty == found.penalty))
+    return spark.createDataFrame(rows, "search_round int, nth long, log_penalty double, retained long, gap long, chosen boolean")
 
 
 @query("SELECT count(*) AS n_records, CAST(count(*) // 3 AS BIGINT) AS n_selected, round(sum(w0), 3) AS mass, true AS loss_fell FROM fx_record", "fx_record")
@@ -725,14 +776,16 @@ def calibrate_random(spark, sf):
     return spark.createDataFrame([(full.count(), got.retained[0], round(full.agg(F.sum("weight")).first()[0], 3), got.loss[0] < got.history[0][2])], "n_records long, n_selected long, mass double, loss_fell boolean")
 
 
-@query(_dense_sql(4).rsplit("SELECT record_id", 1)[0].rstrip() + """, total AS (SELECT sum(exp(theta)) AS held, count(*) AS n FROM s4)
-SELECT CAST(n // k AS BIGINT) AS budget, CAST(n // k AS BIGINT) AS draws, round(held, 2) AS mass FROM total, (VALUES (2), (5)) AS b(k)""", "fx_matrix", "fx_target", "fx_record")
+@query(_dense_sql(4).rsplit("SELECT record_id", 1)[0].rstrip() + """, w AS (SELECT record_id, exp(theta) AS weight FROM s4), line AS (SELECT *, sum(weight) OVER (ORDER BY floor({U(concat('slice:4:', record_id))} * 4096), record_id) - weight AS begin FROM w),
+t AS (SELECT sum(weight) AS total, count(*) AS n FROM w), b AS (SELECT CAST(n // k AS BIGINT) AS budget, total FROM t CROSS JOIN (VALUES (2), (5)) AS v(k)),
+d AS (SELECT r.i, {U(concat('draw:4:', r.i))} * total AS at FROM t, range(CAST((SELECT max(budget) FROM b) AS BIGINT)) AS r(i)), hit AS (SELECT d.i, l.record_id FROM d ASOF JOIN line l ON d.at >= l.begin)
+SELECT budget, record_id, count(*) AS draws, round(count(*) * max(total) / budget, 3) AS weight FROM hit JOIN b ON i < budget GROUP BY budget, record_id""", "fx_matrix", "fx_target", "fx_record")
 def calibrate_dense_sample(spark, sf):
+    """One dense fit, drawn at two budgets, draw by draw."""
     o = _options(4)
-    _, w, _, p = _problem(spark, sf, o)
-    got, sampled = K.dense_then_sample(p, w, [p.n // 2, p.n // 5], 4, o)
-    rows = [(b, info["n_selected"], round(s.agg(F.sum("weight")).first()[0], 2)) for b, (s, info) in sampled.items()]
-    return spark.createDataFrame(rows, "budget long, draws long, mass double")
+    p = _problem(spark, sf, o)[3]
+    _, sampled = K.dense_then_sample(p, [p.n // 2, p.n // 5], 4, o)
+    return sampled.select("budget", "record_id", "draws", F.round("weight", 3).alias("weight"))
 
 
 @query("SELECT count(*) AS n_targets, true AS capped_below_uncapped, CAST(3 AS BIGINT) AS n_methods FROM fx_target WHERE family IN ('balance', 'population', 'activity', 'segment')", "fx_target")
@@ -755,3 +808,176 @@ def precalibration(spark, sf):
     merged = targets_.merged_facts(facts.where("vintage < 2025"), facts.where("vintage = 2025"))
     _, _, _, audit = pipelines.precalibrate(u, merged, 2024, ["target_name"], ["state", "district"], households=u.weights.count() // 2, seed=2, drop=["segment"])
     return audit
+
+
+# ---- resumable sweeps ------------------------------------------------------------------------------------------
+
+HELD = ("orders", "forecast")
+SHOWN = "printf('%.6e', value)"
+
+SWEEP_SQL = """est AS (SELECT method, seed, budget_requested, target_name, sum(m.value * w.weight) AS achieved FROM fx_matrix m JOIN fx_weight w USING (record_id) GROUP BY ALL),
+ran AS (SELECT DISTINCT method, seed, budget_requested FROM fx_weight),
+d AS (SELECT r.method, r.seed, r.budget_requested, family, geography_level, CASE WHEN family IN ('orders', 'forecast') THEN 'out_of_sample' ELSE 'in_sample' END AS split,
+  CASE WHEN t.value <> 0 THEN abs(coalesce(achieved, 0) - t.value) / abs(t.value) END AS e, abs(t.value) < identifiability_floor AS bad
+  FROM ran r CROSS JOIN fx_target t LEFT JOIN est ON est.method = r.method AND est.seed = r.seed AND est.budget_requested = r.budget_requested AND est.target_name = t.target_name),
+g AS (SELECT method, seed, budget_requested, split, CASE WHEN grouping(family) = 0 THEN 'family' WHEN grouping(geography_level) = 0 THEN 'geography' ELSE 'overall' END AS scope,
+  CASE WHEN grouping(family) = 0 THEN family WHEN grouping(geography_level) = 0 THEN geography_level ELSE '' END AS scope_value, avg(e) AS mean_are, median(e) AS median_are, max(e) AS max_are, CAST(count(e) AS DOUBLE) AS n,
+  avg(e) FILTER (WHERE NOT bad) AS mean_are_ex_degenerate, CAST(count(e) FILTER (WHERE bad) AS DOUBLE) AS n_degenerate
+  FROM d GROUP BY GROUPING SETS ((method, seed, budget_requested, split), (method, seed, budget_requested, split, family), (method, seed, budget_requested, split, geography_level)) HAVING count(e) > 0),
+own AS (SELECT method, seed, budget_requested, CAST(count(*) AS DOUBLE) AS n_selected, CAST(count(*) AS DOUBLE) AS n_unique_selected, CAST(count(*) AS DOUBLE) AS budget_achieved, sum(weight) AS sum_weight, sum(weight) * sum(weight) / sum(weight * weight) AS ess,
+  avg(weight) AS mean_weight, max(weight) AS max_weight, quantile_cont(weight, 0.5) AS p50_weight, quantile_cont(weight, 0.9) AS p90_weight, quantile_cont(weight, 0.99) AS p99_weight FROM fx_weight WHERE weight > 0 GROUP BY ALL),
+tails AS (SELECT method, seed, budget_requested, CAST(count(e) AS DOUBLE) AS holdout_n_scored, CAST(count(*) FILTER (WHERE e > 1) AS DOUBLE) AS holdout_n_are_gt_1, CAST(count(*) FILTER (WHERE e > 5) AS DOUBLE) AS holdout_n_are_gt_5 FROM d WHERE split = 'out_of_sample' GROUP BY ALL),
+tall AS (UNPIVOT g ON mean_are, median_are, max_are, n, mean_are_ex_degenerate, n_degenerate INTO NAME metric VALUE value),
+of_run AS (UNPIVOT (SELECT * FROM own JOIN tails USING (method, seed, budget_requested)) ON n_selected, n_unique_selected, budget_achieved, sum_weight, ess, mean_weight, max_weight, p50_weight, p90_weight, p99_weight, holdout_n_scored, holdout_n_are_gt_1, holdout_n_are_gt_5 INTO NAME metric VALUE value),
+swept AS (SELECT method, seed, budget_requested, split, scope, scope_value, metric, value FROM tall WHERE scope = 'overall' OR metric NOT IN ('mean_are_ex_degenerate', 'n_degenerate')
+  UNION ALL SELECT method, seed, budget_requested, 'na', 'run', '', metric, value FROM of_run)"""
+
+
+def _swept(spark, sf):
+    """(scoring arguments by seed) of the fixture's weight vectors."""
+    t = frames.targets(spark, sf)
+    built = frames.built_matrix(spark, sf)
+    w = table(spark, sf, "fx_weight").withColumn("l2_lambda", F.lit(0.0))
+    degenerate = frames.kept(matrix.degenerate_names(t, matrix.identifiability_floors(built, table(spark, sf, "fx_record"))), "degenerate")
+    fitted, held = t.where(~F.col("family").isin(*HELD)), t.where(F.col("family").isin(*HELD))
+
+    def of(seed: int) -> tuple:
+        mine = w.where(F.col("seed") == seed)
+        return built, fitted, held, mine, mine.select(*RUN).distinct(), "fixed_family", -1, degenerate
+
+    return of
+
+
+def _folder(spark, name: str) -> str:
+    return f"{frames.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {SWEEP_SQL} SELECT concat('seed-', seed) AS shard, method, CAST(budget_requested AS BIGINT) AS budget_requested, split, scope, scope_value, metric, {SHOWN} AS value FROM swept", "fx_matrix", "fx_target", "fx_weight")
+def resumed_sweep(spark, sf):
+    """A sweep that stops between the two steps of a commit, goes on, and runs once more without effect."""
+    of, state = _swept(spark, sf), sweep.shards(spark, _folder(spark, "sweep"))
+    sweep.score_and_append(state, "seed-0", *of(0))
+    tables_, held = sweep.scored_tables(*of(1))
+    state.write("seed-1", {"metrics": tables_["metrics"].limit(10)})  # the job dies here: data, but no index row
+    frames.dropped(held)
+    for _ in range(2):
+        for shard in state.pending(["seed-0", "seed-1"]):
+            sweep.score_and_append(state, shard, *of(int(shard[-1])))
+    out = state.certified("metrics")
+    return out.select("shard", "method", "budget_requested", "split", "scope", "scope_value", "metric", F.format_string("%.6e", "value").alias("value"))
+
+
+@query(f"""WITH {SWEEP_SQL}, c AS (SELECT concat('seed-', seed) AS shard, metric, count(*) AS n FROM swept GROUP BY ALL)
+SELECT shard, metric, n, (SELECT count(DISTINCT (seed, budget_requested)) FROM fx_weight WHERE method IN ('informed_l0', 'informed_l1')) AS completed_cells, (SELECT string_agg(DISTINCT CAST(budget_requested AS VARCHAR), ',' ORDER BY CAST(budget_requested AS VARCHAR)) FROM fx_weight) AS budgets,
+(SELECT count(*) FROM swept) AS n_rows, (SELECT count(*) FROM ran) AS n_artifacts FROM c""", "fx_matrix", "fx_target", "fx_weight")
+def merged_sweeps(spark, sf):
+    """Two finished sweeps of one seed each, with their weight artifacts, merged into one."""
+    of, roots, methods = _swept(spark, sf), {}, ["informed_l0", "informed_l1"]
+    for seed in (0, 1):
+        root = roots[f"seed-{seed}"] = _folder(spark, f"sweep{seed}")
+        args = of(seed)
+        sweep.score_and_append(sweep.shards(spark, root), "all", *args)
+        _save(Artifacts(spark, root), args[3], table(spark, sf, "fx_record"))
+        sweep.sweep_manifest(spark, root, f"seed-{seed}", "complete", {"epochs": 120, "targets": "fixture"}, methods)
+    out = _folder(spark, "merged")
+    record = sweep.merge_sweeps(spark, roots, out, "both", methods)
+    counts = sweep.shards(spark, out).certified("metrics").groupBy("shard", "metric").agg(F.count("*").alias("n"))
+    grid = record["grid"]["budgets"]
+    more = {"completed_cells": record["completed_cells"], "budgets": ",".join(sorted(map(str, grid))), "n_rows": record["n_rows"]["metrics"], "n_artifacts": record["n_weight_artifact_rows"]}
+    return counts.select("shard", "metric", "n", *[F.lit(v).cast("string" if k == "budgets" else "long").alias(k) for k, v in more.items()])
+
+
+def _save(store: Artifacts, weights: DataFrame, records: DataFrame, factor: float = 1.0) -> None:
+    """Artifacts of weight vectors: all candidates with their start weights, and a loss for each of three epochs."""
+    cells = weights.withColumns({"holdout_type": F.lit("fixed_family"), "fold": F.lit(-1)}).withColumn("weight", F.col("weight") * factor)
+    runs_ = cells.groupBy(*state_.CELL).agg(F.count("*").alias("n_selected"), F.avg("weight").alias("final_loss"))
+    n = records.count()
+    rows = runs_.withColumns({"budget_achieved": F.col("n_selected"), "weight_entity": F.lit("record"), "candidate_records": F.lit(n).cast("long"), "runtime_s": F.lit(None).cast("double"), "l0_lambda": F.lit(None).cast("double"), "target_loss_cap": F.lit(1.0)})
+    every = runs_.select(*state_.CELL).crossJoin(records.select("record_id", F.col("w0").alias("start_weight")))  # a row for each candidate and run: what is stored
+    vectors = every.join(cells.select(*state_.CELL, "record_id", "weight"), [*state_.CELL, "record_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    losses = runs_.select(*state_.CELL, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("epoch"), "final_loss").withColumn("loss", F.col("final_loss") * (3 - F.col("epoch")))
+    store.save(rows, vectors, losses)
+
+
+@query("""SELECT method, seed, CAST(budget_requested AS BIGINT) AS budget_requested, count(weight) AS n_selected, round(sum(weight), 3) AS sum_weight, (SELECT count(*) FROM fx_record) AS candidates, round((SELECT sum(w0) FROM fx_record), 3) AS sum_start,
+CAST(3 AS BIGINT) AS epochs, round(avg(weight) * 6, 6) AS sum_loss FROM fx_weight WHERE NOT (method = 'informed_l1' AND seed = 1) GROUP BY ALL""", "fx_weight", "fx_record")
+def stored_artifacts(spark, sf):
+    """Artifacts of all runs but one method of one seed; seed 0 is saved twice, and the later row wins."""
+    store = Artifacts(spark, _folder(spark, "artifacts"))
+    w, records = table(spark, sf, "fx_weight").withColumn("l2_lambda", F.lit(0.0)), table(spark, sf, "fx_record")
+    _save(store, w.where("seed = 0"), records, 2.0)
+    _save(store, w.where("not (method = 'informed_l1' and seed = 1)"), records)
+    keys = ["method", "seed", "budget_requested"]
+    own = store.vectors().groupBy(*keys).agg(F.count_if(F.col("weight") > 0).alias("n_selected"), F.round(F.sum("weight"), 3).alias("sum_weight"), F.count("*").alias("candidates"), F.round(F.sum("start_weight"), 3).alias("sum_start"))
+    return own.join(store.trajectories().groupBy(*keys).agg(F.count("*").alias("epochs"), F.round(F.sum("loss"), 6).alias("sum_loss")), keys)
+
+
+@query(f"WITH {SCORES_SQL.strip()} SELECT method, seed, budget_requested, l2_lambda, split, scope_value AS family, n, round(mean_are, 6) AS mean_are, round(median_are, 6) AS median_are, round(max_are, 6) AS max_are FROM scored WHERE scope = 'family'", "fx_diag")
+def family_summary_rows(spark, sf):
+    """Family rows of nested method summaries."""
+    s = frames.scores(spark, sf)
+    return rounded(report.family_rows(sweep.method_summaries(s, s.select(*RUN).distinct()), RUN))
+
+
+@query(f"""WITH {SCORES_SQL.strip()}, o AS (SELECT * FROM scored WHERE scope = 'overall')
+SELECT i.method, i.seed, i.budget_requested, i.l2_lambda, i.n AS in_sample_n, round(i.mean_are, 6) AS in_sample_mean_are, round(i.median_are, 6) AS in_sample_median_are, o.n AS out_of_sample_n, round(o.mean_are, 6) AS out_of_sample_mean_are, round(o.median_are, 6) AS out_of_sample_median_are
+FROM o i JOIN o USING (method, seed, budget_requested, l2_lambda) WHERE i.split = 'in_sample' AND o.split = 'out_of_sample'""", "fx_diag")
+def method_summary_rows(spark, sf):
+    s = frames.scores(spark, sf)
+    out = rounded(report.method_rows(sweep.method_summaries(s, s.select(*RUN).distinct()), RUN))
+    return out.select(*RUN, *[f"{side}_{c}" for side in ("in_sample", "out_of_sample") for c in ("n", "mean_are", "median_are")])
+
+
+@metrics_query(""", cells AS (SELECT DISTINCT method, l2_lambda, budget_requested FROM long), ls AS (SELECT count(DISTINCT l2_lambda) AS l, count(DISTINCT budget_requested) AS b, count(DISTINCT method) AS m FROM long),
+c AS (SELECT (SELECT count(*) FROM cells) AS cells, l, b, m FROM ls)
+SELECT u.* FROM c, LATERAL (SELECT * FROM (VALUES ('objective_by_budget', cells), ('median_by_budget', 2 * cells), ('mean_by_budget', 2 * cells), ('paired', l * b), ('macro', cells), ('attribution', m * b * least(15, (SELECT count(*) FROM fx_target WHERE family IN ('orders', 'forecast') AND value <> 0))),
+('sensitivity', 2 * cells), ('result_sampling_comparison', 2 * m), ('result_calibration_accuracy', (SELECT l * count(DISTINCT scope_value) FROM long WHERE scope = 'geography' AND split = 'out_of_sample')), ('result_presets', b), ('result_paired_comparison', l * b),
+('sweep_frontier_out_of_sample', b), ('sweep_frontier_in_sample', b), ('sweep_paired_comparison', l * b), ('series_objective', cells), ('series_mean', 2 * cells), ('series_median', 2 * cells), ('series_ess', cells), ('series_max_weight', cells),
+('series_by_family', (SELECT count(DISTINCT (split, scope_value)) * (SELECT count(*) FROM cells) FROM long WHERE scope = 'family' AND metric = 'mean_are')), ('series_operability', cells), ('series_gap', cells), ('series_cost', cells)) AS v(frame, n_rows)) u""", "fx_target")
+def summary_bundle(spark, sf):
+    """All frames of the summary, written as one bundle, with the rows that its record tells."""
+    from ..sources.tables import write_bundle
+
+    d = frames.kept(frames.diagnostics(spark, sf), "diagnostics")
+    choices, found = report.summary_bundle(frames.metrics(spark, sf), d, ["forecast"])
+    record = write_bundle(found, _folder(spark, "bundle"), choices)
+    return spark.createDataFrame([(k, v["n_rows"]) for k, v in record["frames"].items()], "frame string, n_rows long")
+
+
+@metrics_query(f""", r AS (SELECT method, l2_lambda, budget_requested, avg(value) FILTER (WHERE scope = 'run' AND metric = 'runtime_s') AS runtime_s, avg(value) FILTER (WHERE scope = 'overall' AND metric = 'median_are' AND split = 'out_of_sample') AS median_are FROM long GROUP BY ALL)
+SELECT method, l2_lambda, CAST(budget_requested AS BIGINT) AS budget_requested, round(runtime_s, 6) AS runtime_s, round(median_are, 6) AS median_are FROM r""")
+def cost_accuracy(spark, sf):
+    return rounded(report.series(frames.metrics(spark, sf), frames.diagnostics(spark, sf))["cost"])
+
+
+@metrics_query(""" SELECT string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) AS seeds, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, count(DISTINCT l2_lambda) AS n_penalties, count(DISTINCT budget_requested) AS n_budgets FROM long""")
+def recovered_grid(spark, sf):
+    g = runs.recovered_grid(frames.metrics(spark, sf))
+    return g.select(F.concat_ws(",", F.col("seed").cast("array<string>")).alias("seeds"), F.concat_ws(",", "method").alias("methods"), F.size("l2_lambda").cast("long").alias("n_penalties"), F.size("budget_requested").cast("long").alias("n_budgets"))
+
+
+@query("""WITH h AS (SELECT method, seed, row_number() OVER (PARTITION BY method, seed ORDER BY target_name) - 1 AS epoch, abs(achieved_value - target_value) / scale AS loss FROM fx_diag WHERE l2_lambda = 0 AND budget_requested = 2000),
+l AS (SELECT *, max(epoch) OVER w AS last, lag(loss, 50) OVER (w ORDER BY epoch) AS l50, lag(loss, 100) OVER (w ORDER BY epoch) AS l100 FROM h WINDOW w AS (PARTITION BY method, seed)),
+b AS (SELECT method, seed, min(loss) AS best FROM h GROUP BY ALL)
+SELECT l.method, l.seed, round(max(loss) FILTER (WHERE epoch = 0), 6) AS first_loss, round(max(loss) FILTER (WHERE epoch = last), 6) AS last_loss, round(max(best), 6) AS best_loss, min(epoch) FILTER (WHERE loss = best) AS best_epoch, count(*) AS epochs,
+round(max((l50 - loss) / greatest(abs(l50), 1e-12)) FILTER (WHERE epoch = last), 4) AS improvement_50, round(max((l100 - loss) / greatest(abs(l100), 1e-12)) FILTER (WHERE epoch = last), 4) AS improvement_100
+FROM l JOIN b USING (method, seed) GROUP BY ALL""".replace("(w ORDER BY epoch)", "(PARTITION BY method, seed ORDER BY epoch)"), "fx_diag")
+def loss_trajectories(spark, sf):
+    """First, last and best loss, and the improvement over the last epochs, of trajectories laid out by target."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "fx_diag").where("l2_lambda = 0 and budget_requested = 2000")
+    epoch = F.row_number().over(Window.partitionBy("method", "seed").orderBy("target_name")) - 1
+    h = d.select("method", "seed", epoch.cast("long").alias("epoch"), (F.abs(F.col("achieved_value") - F.col("target_value")) / F.col("scale")).alias("loss"))
+    out = objective.loss_summary(h, ["method", "seed"], (50, 100))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("improvement_50", "improvement_100")}))
+
+
+@query(f"""WITH {SCORES_SQL.strip()}, w AS (SELECT method, seed, budget_requested, count(*) AS n_selected, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS ess, round(max(weight), 6) AS max_weight FROM fx_weight WHERE weight > 0 GROUP BY ALL),
+o AS (SELECT method, seed, budget_requested, avg(mean_are) FILTER (WHERE split = 'in_sample') AS a, avg(mean_are) FILTER (WHERE split = 'out_of_sample') AS b FROM scored WHERE scope = 'overall' AND l2_lambda = 0 GROUP BY ALL)
+SELECT method, seed, CAST(budget_requested AS BIGINT) AS budget_requested, n_selected, ess, max_weight, round(a, 6) AS in_sample, round(b, 6) AS out_of_sample FROM w JOIN o USING (method, seed, budget_requested)""", "fx_diag", "fx_weight")
+def method_comparison(spark, sf):
+    keys = ["method", "seed", "budget_requested"]
+    w = table(spark, sf, "fx_weight")
+    out = report.method_comparison(frames.scores(spark, sf).where("l2_lambda = 0"), score.weight_diagnostics(w, keys), w.select(*keys).distinct(), keys)
+    return out.select("method", "seed", F.col("budget_requested").cast("long").alias("budget_requested"), "n_selected", F.round("ess", 4).alias("ess"), F.round("max_weight", 6).alias("max_weight"), F.round("in_sample", 6).alias("in_sample"), F.round("out_of_sample", 6).alias("out_of_sample"))

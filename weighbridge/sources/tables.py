@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import standard_normal, uniform
@@ -24,6 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to a folder of the application's own in the shared one and read again: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables made by :func:`kept` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank ones are skipped, broken ones are an error that names them."""
     lines = spark.read.text(path).where("trim(value) <> ''")
@@ -155,3 +174,18 @@ def toy_targets(universe: DataFrame, measures: tuple[str, ...] = ("household_cou
     sums = universe.agg(*[F.sum(F.col(m) * F.col("w0")).alias(m) for m in measures]).unpivot([], list(measures), "measure", "total")
     many = sums.crossJoin(universe.sparkSession.range(copies).withColumnRenamed("id", "copy"))  # a few rows
     return many.select(F.concat("measure", F.when(F.col("copy") > 0, F.concat(F.lit("_"), F.col("copy").cast("string"))).otherwise("")).alias("target_name"), F.lit("household").alias("entity"), "measure", (F.col("total") * raised).alias("value"))
+
+
+def write_bundle(frames: dict[str, DataFrame], path: str, choices: dict) -> dict:
+    """Each frame as a CSV folder of its own (reports: tens to thousands of rows), and a record of their columns and rows."""
+    from .state import utc_now, write_record
+
+    listed = {}
+    for name, df in sorted(frames.items()):
+        seen = Observation(name)
+        flat = df.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, kind in df.dtypes])
+        flat.observe(seen, F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        listed[name] = {"columns": df.columns, "n_rows": seen.get["n"]}
+    record = {"written_at": utc_now(), "choices": choices, "frames": listed}
+    write_record(next(iter(frames.values())).sparkSession, record, f"{path}/bundle")
+    return record
