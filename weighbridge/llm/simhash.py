@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import hot, scratch
 from .textbatch import U, mix, shingles, slices, word_hashes
 
-BITS, RADIUS, BLOCKS, MOST_PARTS = 128, 3, 5, 20_000
+BITS, RADIUS, BLOCKS, MOST_PARTS, PER_PART = 128, 3, 5, 20_000, 20
 _LANES = U(0x0101010101010101)
 
 
@@ -139,8 +139,8 @@ def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
     crowded = lost > size or bool(docs.select(key).groupBy("key").count().where(F.col("count") > size).limit(1).count())
     side = F.xxhash64("text") if crowded else F.lit(0).cast("long")
     places = docs.select(key, side.alias("side"))
-    some = F.pmod(F.xxhash64("key", "side", F.lit(1)), F.lit(max(1, n // (40 * parts)))) == 0
-    seen = sorted((r["key"], r["side"]) for r in places.where(some).limit(400 * parts).collect())  # a sample for the cuts, about 40 a part
+    some = F.pmod(F.xxhash64("key", "side", F.lit(1)), F.lit(max(1, -(-n // (PER_PART * parts))))) == 0
+    seen = sorted((r["key"], r["side"]) for r in places.where(some).limit(2 * PER_PART * parts).collect())  # a sample for the cuts: 2 * PER_PART * MOST_PARTS rows at most
     cuts = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
     cut_keys, cut_sides = np.array([c[0] for c in cuts], np.int64), [c[1] for c in cuts]
 
@@ -157,10 +157,10 @@ def with_edits(docs: DataFrame, rows_per_part: int = 3000) -> DataFrame:
     order = sorted((r["part"], r["head"]["key"], r["head"]["side"]) for r in heads)
     # the part that a head closes: the one before it; the first closes the last
     ends = spark.createDataFrame([(k, s, order[i - 1][0]) for i, (_, k, s) in enumerate(order)], "key long, side long, closes int")
-    closing = placed.drop("part").join(F.broadcast(ends), ["key", "side"]).groupBy("closes", "key", "side").agg(F.min(F.struct("text", "doc_id")).alias("row"))
+    closing = placed.drop("part").join(F.broadcast(ends), ["key", "side"]).groupBy("closes", "key", "side").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "doc_id")).alias("row"))
     closing = closing.select("row.doc_id", "row.text", "key", "side", F.col("closes").alias("part"))
     every = placed.withColumn("closing", F.lit(False)).unionByName(closing.withColumn("closing", F.lit(True)))
-    dealt = every.repartitionByRange(len(order), "part").sortWithinPartitions("part", "closing", "key", "side", "text")
+    dealt = every.repartitionByRange(len(order), "part").sortWithinPartitions("part", "closing", "key", F.xxhash64("text"), "text")
     return dealt.select("doc_id", "text", "closing").mapInPandas(_edited_rows, _PASS)
 
 
