@@ -284,3 +284,17 @@ def test_bundle_is_written_with_its_record(spark, tmp_path):
     assert {k: v["n_rows"] for k, v in record["frames"].items()} == {"one": 2, "two": 1}
     assert state.read_record(spark, f"file://{tmp_path}/bundle/bundle") == record and (tmp_path / "bundle" / "two").is_dir()
     assert report.SCORE_FIELDS and runs.CELL
+
+
+def test_audits_of_both_splits(spark, tmp_path):
+    a = spark.createDataFrame([("t", 1.0)], "target_name string, floor double")
+    tables.write_audit({"in_sample": a, "out_of_sample": a.limit(0)}, f"file://{tmp_path}/audit")
+    got = spark.read.option("header", True).csv(f"file://{tmp_path}/audit").collect()
+    assert [(r.target_name, r.split) for r in got] == [("t", "in_sample")]
+
+
+def test_methods_by_name(toy):
+    with pytest.raises(ValueError, match="other"):
+        pipelines.run_methods(toy.m, toy.w, toy.t, 30, 0, K.Options(epochs=2), ["dense_sample", "other"])
+    w, ran = pipelines.run_methods(toy.m, toy.w, toy.t, 30, 0, K.Options(epochs=4, rate=0.15, cap=1.0, partitions=2), ["dense_sample", "random_reweight"])
+    assert {r.method: r.n_selected for r in ran.collect()} == {"dense_sample": 30, "random_reweight": 30} and w.where("method = 'random_reweight'").count() == 30

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .universe import Universe
 
 
+#: Runs whose keys are broadcast.
+MOST_BROADCAST = 100_000
+
+
 def constraint_matrix(universe: Universe, targets: DataFrame) -> DataFrame:
     """(target_name, record_id, value): the sum, over a record's rows of the target's entity that pass its filter, of the measure.
 
@@ -43,7 +47,9 @@ def estimates(matrix: DataFrame, weights: DataFrame, run_keys: list[str]) -> Dat
 
 def achieved(targets: DataFrame, runs: DataFrame, found: DataFrame, run_keys: list[str]) -> DataFrame:
     """All targets of all runs with their estimate, 0 where there is none."""
-    grid = targets.crossJoin(F.broadcast(runs.select(*run_keys).distinct()))  # targets x runs, as many rows as there are results
+    own = runs.select(*run_keys).distinct()
+    few = own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    grid = targets.crossJoin(F.broadcast(own) if few else own)  # targets x runs, as many rows as there are results
     return grid.join(found, [*run_keys, "target_name"], "left").withColumn("achieved_value", F.coalesce("achieved_value", F.lit(0.0)))
 
 

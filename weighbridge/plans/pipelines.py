@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,45 +50,79 @@ def precalibrate(universe: U.Universe, facts: DataFrame, period: int, identity:
     return universe, found, built, audit
 
 
+@dataclass
+class Task:
+    """What the methods of one comparison share, and what the first of them leave for the others."""
+
+    built: DataFrame
+    weights: DataFrame
+    targets: DataFrame
+    loss_weights: DataFrame | None
+    budget: int
+    seed: int
+    options: K.Options
+    width: int
+    problem: K.Problem
+    matched: int
+    selection: DataFrame | None = None
+
+
+def _l0(task: Task) -> tuple[DataFrame, int, float]:
+    found = K.informed_l0_at_budget(task.problem, task.options, task.budget, task.seed, width=task.width, tolerance=max(1, task.budget // 100), open_at_start=0.8)
+    task.selection, task.matched = K.weights_of(found.fit, found.configuration), found.retained or task.budget
+    return task.selection, found.retained, found.fit.loss[found.configuration]
+
+
+def _l0_refit(task: Task) -> tuple[DataFrame, int, float]:
+    full, refit = K.post_selection_refit(task.built, task.weights, task.targets, task.selection, task.options, task.loss_weights, task.seed)
+    return full.where("weight > 0"), refit.retained[0], refit.loss[0]
+
+
+def _l1(task: Task) -> tuple[DataFrame, int, float]:
+    found = K.informed_l1_at_budget(task.problem, task.options, task.matched, task.seed, width=task.width, tolerance=max(1, task.budget // 100))
+    return K.weights_of(found.fit, found.configuration), found.retained, found.fit.loss[found.configuration]
+
+
+def _random(task: Task) -> tuple[DataFrame, int, float]:
+    full, got = K.random_reweight(task.built, task.weights, task.targets, task.matched, task.seed, task.options, task.loss_weights)
+    return full.where("weight > 0"), got.retained[0], got.loss[0]
+
+
+def _dense_sample(task: Task) -> tuple[DataFrame, int, float]:
+    got, sampled = K.dense_then_sample(task.problem, [task.matched], task.seed, task.options)
+    return sampled.select("record_id", "weight"), task.matched, got.loss[0]
+
+
+#: Method -> its function and the method that must run before it; in the order in which they run.
+BY_NAME: dict[str, tuple[Callable[[Task], tuple[DataFrame, int, float]], str | None]] = {
+    "informed_l0": (_l0, None), "informed_l0_refit": (_l0_refit, "informed_l0"), "informed_l1": (_l1, None), "random_reweight": (_random, None), "dense_sample": (_dense_sample, None),
+}
+
+
 def run_methods(built: DataFrame, weights: DataFrame, targets: DataFrame, budget: int, seed: int, options: K.Options, methods: list[str], loss_weights: DataFrame | None = None, width: int = 4) -> tuple[DataFrame, DataFrame]:
     """Weights (method, seed, budget_requested, record_id, weight) and run values of the chosen methods.
 
     The baselines are matched to the number of records that L0 retains, which is searched to a hundredth of the budget.
     """
-    spark = built.sparkSession
+    unknown = sorted(set(methods) - set(BY_NAME))
+    if unknown:
+        raise ValueError(f"unknown methods {unknown}; known are {sorted(BY_NAME)}")
+    wanted = set(methods) | {BY_NAME[m][1] for m in methods if BY_NAME[m][1]}
     problem = K.Problem.build(built, weights, targets, loss_weights, options.partitions)
-    tolerance = max(1, budget // 100)
-    done: list[tuple[str, DataFrame, int, float]] = []
-    matched = budget
-    selection = None
-    if {"informed_l0", "informed_l0_refit"} & set(methods):
-        found = K.informed_l0_at_budget(problem, options, budget, seed, width=width, tolerance=tolerance, open_at_start=0.8)
-        selection, matched = K.weights_of(found.fit, found.configuration), found.retained or budget
-        done.append(("informed_l0", selection, found.retained, found.fit.loss[found.configuration]))
-    if "informed_l0_refit" in methods and selection is not None:
-        full, refit = K.post_selection_refit(built, weights, targets, selection, options, loss_weights, seed)
-        done.append(("informed_l0_refit", full.where("weight > 0"), refit.retained[0], refit.loss[0]))
-    if "informed_l1" in methods:
-        found = K.informed_l1_at_budget(problem, options, matched, seed, width=width, tolerance=tolerance)
-        done.append(("informed_l1", K.weights_of(found.fit, found.configuration), found.retained, found.fit.loss[found.configuration]))
-    if "random_reweight" in methods:
-        full, got = K.random_reweight(built, weights, targets, matched, seed, options, loss_weights)
-        done.append(("random_reweight", full.where("weight > 0"), got.retained[0], got.loss[0]))
-    if "dense_sample" in methods:
-        got, sampled = K.dense_then_sample(problem, [matched], seed, options)
-        done.append(("dense_sample", sampled.select("record_id", "weight"), matched, got.loss[0]))
-    out = None
-    for method, w, _, _ in done:
+    task = Task(built, weights, targets, loss_weights, budget, seed, options, width, problem, budget)
+    parts, rows = [], []
+    for method in (m for m in BY_NAME if m in wanted):
+        w, n, loss = BY_NAME[method][0](task)
         if method in methods:
-            one = w.select(F.lit(method).alias("method"), F.lit(seed).alias("seed"), F.lit(budget).cast("long").alias("budget_requested"), "record_id", "weight")
-            out = one if out is None else out.unionByName(one)
-    runs = spark.createDataFrame([(m, seed, budget, n, loss) for m, _, n, loss in done if m in methods], "method string, seed int, budget_requested long, n_selected long, final_loss double")
+            parts.append(w.select(F.lit(method).alias("method"), F.lit(seed).alias("seed"), F.lit(budget).cast("long").alias("budget_requested"), "record_id", "weight"))
+            rows.append((method, seed, budget, n, loss))
     problem.blocks.unpersist()
-    return out, runs
+    runs = built.sparkSession.createDataFrame(rows, "method string, seed int, budget_requested long, n_selected long, final_loss double")
+    return reduce(lambda a, b: a.unionByName(b), parts), runs
 
 
 #: Methods that a comparison can be asked for.
-METHODS = ("informed_l0", "informed_l0_refit", "informed_l1", "random_reweight", "dense_sample")
+METHODS = tuple(BY_NAME)
 
 
 def score_methods(built: DataFrame, fit_targets: DataFrame, holdout: DataFrame, weights: DataFrame, runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -107,19 +143,21 @@ def compare_at_budget(built: DataFrame, weights: DataFrame, targets: DataFrame,
 
 
 def compare_at_penalty(built: DataFrame, weights: DataFrame, targets: DataFrame, share: float, seed: int, options: K.Options, loss_weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fixed-penalty comparison on the full surface: L0, its refit, and random matched to its count; (weights, run values)."""
+    """Fixed-penalty comparison on the full surface: L0, its refit, and random and the dense sample matched to its count; (weights, run values)."""
     problem = K.Problem.build(built, weights, targets, loss_weights, options.partitions)
     got = K.informed_l0(problem, options, [K.resolve_penalty(problem.n, share=share)], seed, open_at_start=0.8)
     selection = got.weights.select("record_id", "weight")
     full, refit = K.post_selection_refit(built, weights, targets, selection, options, loss_weights, seed)
     other, random = K.random_reweight(built, weights, targets, got.retained[0], seed, options, loss_weights)
-    parts = [("informed_l0", selection), ("informed_l0_refit", full.where("weight > 0")), ("random_reweight", other.where("weight > 0"))]
+    dense, drawn = K.dense_then_sample(problem, [got.retained[0]], seed, options)
+    parts = [("informed_l0", selection), ("informed_l0_refit", full.where("weight > 0")), ("random_reweight", other.where("weight > 0")), ("dense_sample", drawn.select("record_id", "weight"))]
     out = None
     for m, w in parts:
         one = w.select(F.lit(m).alias("method"), "record_id", "weight")
         out = one if out is None else out.unionByName(one)
     spark = built.sparkSession
-    runs = spark.createDataFrame([("informed_l0", got.retained[0], got.loss[0]), ("informed_l0_refit", refit.retained[0], refit.loss[0]), ("random_reweight", random.retained[0], random.loss[0])], "method string, n_selected long, final_loss double")
+    runs = spark.createDataFrame([("informed_l0", got.retained[0], got.loss[0]), ("informed_l0_refit", refit.retained[0], refit.loss[0]), ("random_reweight", random.retained[0], random.loss[0]), ("dense_sample", got.retained[0], dense.loss[0])], "method string, n_selected long, final_loss double")
+    problem.blocks.unpersist()
     return out, runs
 
 

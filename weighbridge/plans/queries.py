@@ -788,7 +788,7 @@ def calibrate_dense_sample(spark, sf):
     return sampled.select("budget", "record_id", "draws", F.round("weight", 3).alias("weight"))
 
 
-@query("SELECT count(*) AS n_targets, true AS capped_below_uncapped, CAST(3 AS BIGINT) AS n_methods FROM fx_target WHERE family IN ('balance', 'population', 'activity', 'segment')", "fx_target")
+@query("SELECT count(*) AS n_targets, true AS capped_below_uncapped, CAST(4 AS BIGINT) AS n_methods FROM fx_target WHERE family IN ('balance', 'population', 'activity', 'segment')", "fx_target")
 def fixed_penalty_comparison(spark, sf):
     o = _options(25)
     m, w, t, _ = _problem(spark, sf, o)
@@ -825,14 +825,19 @@ g AS (SELECT method, seed, budget_requested, split, CASE WHEN grouping(family) =
   avg(e) FILTER (WHERE NOT bad) AS mean_are_ex_degenerate, CAST(count(e) FILTER (WHERE bad) AS DOUBLE) AS n_degenerate
   FROM d GROUP BY GROUPING SETS ((method, seed, budget_requested, split), (method, seed, budget_requested, split, family), (method, seed, budget_requested, split, geography_level)) HAVING count(e) > 0),
 own AS (SELECT method, seed, budget_requested, CAST(count(*) AS DOUBLE) AS n_selected, CAST(count(*) AS DOUBLE) AS n_unique_selected, CAST(count(*) AS DOUBLE) AS budget_achieved, sum(weight) AS sum_weight, sum(weight) * sum(weight) / sum(weight * weight) AS ess,
-  avg(weight) AS mean_weight, max(weight) AS max_weight, quantile_cont(weight, 0.5) AS p50_weight, quantile_cont(weight, 0.9) AS p90_weight, quantile_cont(weight, 0.99) AS p99_weight FROM fx_weight WHERE weight > 0 GROUP BY ALL),
+  avg(weight) AS mean_weight, max(weight) AS max_weight, quantile_cont(weight, 0.5) AS p50_weight, quantile_cont(weight, 0.9) AS p90_weight, quantile_cont(weight, 0.99) AS p99_weight, 1.0::DOUBLE / count(*) AS l0_lambda, avg(weight) / 1000 AS final_loss FROM fx_weight WHERE weight > 0 GROUP BY ALL),
 tails AS (SELECT method, seed, budget_requested, CAST(count(e) AS DOUBLE) AS holdout_n_scored, CAST(count(*) FILTER (WHERE e > 1) AS DOUBLE) AS holdout_n_are_gt_1, CAST(count(*) FILTER (WHERE e > 5) AS DOUBLE) AS holdout_n_are_gt_5 FROM d WHERE split = 'out_of_sample' GROUP BY ALL),
 tall AS (UNPIVOT g ON mean_are, median_are, max_are, n, mean_are_ex_degenerate, n_degenerate INTO NAME metric VALUE value),
-of_run AS (UNPIVOT (SELECT * FROM own JOIN tails USING (method, seed, budget_requested)) ON n_selected, n_unique_selected, budget_achieved, sum_weight, ess, mean_weight, max_weight, p50_weight, p90_weight, p99_weight, holdout_n_scored, holdout_n_are_gt_1, holdout_n_are_gt_5 INTO NAME metric VALUE value),
+of_run AS (UNPIVOT (SELECT * FROM own JOIN tails USING (method, seed, budget_requested)) ON n_selected, n_unique_selected, budget_achieved, sum_weight, ess, mean_weight, max_weight, p50_weight, p90_weight, p99_weight, l0_lambda, final_loss, holdout_n_scored, holdout_n_are_gt_1, holdout_n_are_gt_5 INTO NAME metric VALUE value),
 swept AS (SELECT method, seed, budget_requested, split, scope, scope_value, metric, value FROM tall WHERE scope = 'overall' OR metric NOT IN ('mean_are_ex_degenerate', 'n_degenerate')
   UNION ALL SELECT method, seed, budget_requested, 'na', 'run', '', metric, value FROM of_run)"""
 
 
+def _told(weights: DataFrame) -> DataFrame:
+    """What runs report of themselves: a penalty and a loss that their weights decide."""
+    return weights.groupBy(*RUN).agg((F.lit(1.0) / F.count("*")).alias("l0_lambda"), (F.avg("weight") / 1000).alias("final_loss"))
+
+
 def _swept(spark, sf):
     """(scoring arguments by seed) of the fixture's weight vectors."""
     t = frames.targets(spark, sf)
@@ -843,7 +848,7 @@ def _swept(spark, sf):
 
     def of(seed: int) -> tuple:
         mine = w.where(F.col("seed") == seed)
-        return built, fitted, held, mine, mine.select(*RUN).distinct(), "fixed_family", -1, degenerate
+        return built, fitted, held, mine, _told(mine), "fixed_family", -1, degenerate
 
     return of
 
@@ -981,3 +986,52 @@ def method_comparison(spark, sf):
     w = table(spark, sf, "fx_weight")
     out = report.method_comparison(frames.scores(spark, sf).where("l2_lambda = 0"), score.weight_diagnostics(w, keys), w.select(*keys).distinct(), keys)
     return out.select("method", "seed", F.col("budget_requested").cast("long").alias("budget_requested"), "n_selected", F.round("ess", 4).alias("ess"), F.round("max_weight", 6).alias("max_weight"), F.round("in_sample", 6).alias("in_sample"), F.round("out_of_sample", 6).alias("out_of_sample"))
+
+
+def _run_rows(spark, sf) -> DataFrame:
+    """Run-level metric rows of the given weight vectors."""
+    w = table(spark, sf, "fx_weight").withColumn("l2_lambda", F.lit(0.0))
+    return score.long_rows(frames.scores(spark, sf).limit(0), sweep.run_metrics(w, _told(w)), RUN, "fixed_family", -1)
+
+
+KEPT_SQL = "k AS (SELECT method, seed, budget_requested, count(*) AS n FROM fx_weight WHERE weight > 0 GROUP BY ALL)"
+
+
+@query(f"WITH {KEPT_SQL} SELECT CAST(budget_requested AS BIGINT) AS budget_requested, round(avg(1.0::DOUBLE / n), 9) AS l0_lambda, round(avg(n), 6) AS budget_achieved FROM k WHERE method = 'informed_l0' GROUP BY ALL", "fx_weight")
+def presets_of_runs(spark, sf):
+    """Converged penalty and achieved count for each budget, of the given weight vectors."""
+    return report.presets(_run_rows(spark, sf)).select("budget_requested", F.round("l0_lambda", 9).alias("l0_lambda"), F.round("budget_achieved", 6).alias("budget_achieved"))
+
+
+@query(f"""WITH {KEPT_SQL}, own AS (SELECT seed, budget_requested, n FROM k WHERE method = 'informed_l0' AND (seed = 0 OR n > budget_requested // 4))
+SELECT DISTINCT c.seed, CAST(c.budget_requested AS BIGINT) AS budget_requested, CAST(coalesce(own.n, c.budget_requested) AS BIGINT) AS matched_budget FROM k c LEFT JOIN own USING (seed, budget_requested)""", "fx_weight")
+def budgets_of_runs(spark, sf):
+    """The baselines' budgets: what L0 kept in this run (seed 0), or in an earlier one if that kept enough, else the requested one."""
+    rows = _run_rows(spark, sf)
+    found = runs.achieved_budgets(rows)
+    before = found.where((F.col("seed") == 1) & (F.col("budget_achieved") > F.floor(F.col("budget_requested") / 4)))
+    return runs.matched_budgets(rows.select(*runs.CELL).distinct(), found.where("seed = 0"), before).select("seed", "budget_requested", "matched_budget")
+
+
+@query(f"""WITH {KEPT_SQL}, m AS (SELECT seed, budget_requested, count(DISTINCT method) AS done FROM k WHERE method IN ('informed_l0', 'dense_sample') AND n % 3 <> 0 GROUP BY ALL)
+SELECT seed, CAST(budget_requested AS BIGINT) AS budget_requested FROM m WHERE done = 2""", "fx_weight")
+def cells_of_runs(spark, sf):
+    """Cells in which two methods are complete, where the rows of every run whose count is divisible by three are lost."""
+    rows = _run_rows(spark, sf)
+    lost = rows.where("metric = 'n_selected' and value % 3 = 0").select(*RUN)
+    return runs.completed_cells(rows.join(lost, RUN, "left_anti"), ["informed_l0", "dense_sample"]).select("seed", "budget_requested")
+
+
+@query(f"""WITH {KEPT_SQL} SELECT method, seed, CAST(budget_requested AS BIGINT) AS budget_requested FROM k WHERE n % 3 = 0""", "fx_weight")
+def pending_of_runs(spark, sf):
+    """Runs that must be done again, where the rows of every run whose count is divisible by three are lost."""
+    rows = _run_rows(spark, sf)
+    lost = rows.where("metric = 'n_selected' and value % 3 = 0").select(*RUN)
+    done = runs.completed_methods(rows.join(lost, RUN, "left_anti"))
+    return runs.pending(rows.select(*RUN).distinct(), done, RUN).select("method", "seed", "budget_requested")
+
+
+@query(f"""WITH {KEPT_SQL} SELECT CAST(budget_requested AS BIGINT) AS budget_requested, method, round(avg(n), 6) AS mean, count(DISTINCT seed) AS n_seeds FROM k GROUP BY ALL""", "fx_weight")
+def retained_of_runs(spark, sf):
+    """The mean number of retained records over seeds."""
+    return rounded(A.run_metric(_run_rows(spark, sf), "n_unique_selected")).select("budget_requested", "method", "mean", "n_seeds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -161,6 +162,12 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_audit(audits: dict[str, DataFrame], path: str) -> None:
+    """Degenerate targets of both splits (split -> audit) as one CSV file, each row with its split."""
+    rows = [df.withColumn("split", F.lit(split)) for split, df in sorted(audits.items())]
+    write_summary(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows), path)
+
+
 def toy_universe(spark: SparkSession, n: int = 120, seed: int = 0, weight: float = 1000.0) -> DataFrame:
     """Households with lognormal income and Bernoulli renters."""
     ids = spark.range(n).select(F.col("id").alias("record_id"))
