@@ -215,8 +215,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     balls = pivot_of.unionByName(led).groupBy("a").agg(F.min("pivot").alias("ball"))
     sizes = classes.select(F.col("id").alias("a"), "copies").join(balls, "a").groupBy("ball").agg(F.count("*").alias("members"), F.sum("copies").alias("ball_copies"))
     known = scratch.written(
-        classes.select(F.col("id").alias("a"), "copies").join(balls, "a", "left").join(sizes, "ball", "left")
-        .select(F.col("a").alias("id"), "copies", F.coalesce("ball", "a").alias("ball"), F.coalesce("ball_copies", "copies").alias("ball_copies"), F.coalesce("members", F.lit(1)).alias("members"))
+        # a vector outside of any ball has its own id as the key, so that those don't meet under null
+        classes.select(F.col("id").alias("a"), "copies").join(balls, "a", "left").withColumn("ball", F.coalesce("ball", "a")).join(sizes, "ball", "left")
+        .select(F.col("a").alias("id"), "copies", "ball", F.coalesce("ball_copies", "copies").alias("ball_copies"), F.coalesce("members", F.lit(1)).alias("members"))
         .withColumn("is_big", F.col("members") > big).withColumn("entity", F.when(F.col("is_big"), F.xxhash64(F.lit("ball"), F.col("ball"))).otherwise(F.col("id"))), "balls")
 
     # entities in the tables: big balls under a number of their own with their pivots' sketches, all others by themselves
