@@ -1035,3 +1035,72 @@ def pending_of_runs(spark, sf):
 def retained_of_runs(spark, sf):
     """The mean number of retained records over seeds."""
     return rounded(A.run_metric(_run_rows(spark, sf), "n_unique_selected")).select("budget_requested", "method", "mean", "n_seeds")
+
+
+# ---- tables written and read back ------------------------------------------------------------------------------
+
+
+@query("""SELECT target_name, CASE WHEN geography_level = 'state' THEN 'named' WHEN geography_level = 'district' THEN family ELSE NULL END AS family FROM fx_target""", "fx_target")
+def registry_families(spark, sf):
+    """The registry's family in the metadata: kept where one is named (states), put in where none is (districts), absent where the registry has none (nation)."""
+    t = frames.targets(spark, sf)
+    level = F.col("geography_level")
+    bare = t.withColumns({"metadata": F.when(level == "state", F.create_map(F.lit("family"), F.lit("named"))).otherwise(F.expr("cast(map() as map<string,string>)")), "family": F.when(level != "national", F.col("family"))})
+    return targets_.with_registry_family(bare).select("target_name", F.col("metadata")["family"].alias("family"))
+
+
+@query(f"""WITH {POS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY u, target_name) AS nth, count(*) OVER () AS total FROM pos)
+SELECT target_name, (SELECT count(*) FROM fx_target) AS full_fit, CAST(0 AS BIGINT) AS full_holdout FROM n WHERE nth > round_even(total * CAST(0.3 AS DOUBLE), 0)""", "fx_target")
+def complement_of_split(spark, sf):
+    """Targets that a split leaves to the fit, by removing its holdout; beside them the sizes of the full surface."""
+    t = frames.targets(spark, sf)
+    held = folds.split_targets(t, 0.3, 7).where("split = 'holdout'")
+    fit, none = folds.full_surface(t)
+    return folds.complement(t, held).select("target_name", F.lit(fit.count()).alias("full_fit"), F.lit(none.count()).alias("full_holdout"))
+
+
+@query("""SELECT method, l2_lambda, split, count(*) AS n, count(CASE WHEN target_value <> 0 THEN 1 END) AS n_scored, count(*) FILTER (WHERE is_degenerate) AS n_degenerate, round(sum(achieved_value / scale), 4) AS ratios FROM fx_diag GROUP BY ALL""", "fx_diag")
+def diagnostics_read_back(spark, sf):
+    """Diagnostics written as CSV and read again: empty numbers stay null, flags stay flags."""
+    from ..sources import tables
+
+    path = _folder(spark, "diagnostics")
+    tables.write_diagnostics(score.diagnostic_rows(frames.diagnostics(spark, sf)), path, csv=True)
+    back = tables.read_diagnostics(spark, path)
+    return back.groupBy("method", "l2_lambda", "split").agg(F.count("*").alias("n"), F.count("absolute_relative_error").alias("n_scored"), F.count_if("is_degenerate").alias("n_degenerate"), F.round(F.sum(F.col("achieved_value") / F.col("scale")), 4).alias("ratios"))
+
+
+@metrics_query(" SELECT method, scope, metric, count(*) AS n, count(value) FILTER (WHERE metric <> 'n') AS n_numbers, count(*) FILTER (WHERE scope_value = '') AS n_plain FROM long GROUP BY ALL")
+def metrics_read_back(spark, sf):
+    """Long metrics written as CSV and read again; one metric's values are no numbers there and become null."""
+    from ..sources import tables
+
+    path = _folder(spark, "metrics")
+    rows = frames.metrics(spark, sf)
+    odd = rows.withColumn("value", F.when(F.col("metric") == "n", "many").otherwise(F.col("value").cast("string")))
+    tables.write_metrics(odd, path, csv=True)
+    return tables.read_metrics(spark, path).groupBy("method", "scope", "metric").agg(F.count("*").alias("n"), F.count("value").alias("n_numbers"), F.count_if(F.col("scope_value") == "").alias("n_plain"))
+
+
+@query(f"WITH {FACT_SQL} SELECT aggregate_fact_key, target_name, vintage, round(value / 1000000, 6) AS value_m FROM facts", "fx_target")
+def facts_read_back(spark, sf):
+    """Facts written as JSON lines, with blank lines between them, and read again."""
+    from ..sources import tables
+
+    path = _folder(spark, "facts")
+    lines = _facts(spark, sf).select(F.to_json(F.struct("aggregate_fact_key", "target_name", "vintage", "value")).alias("value"))
+    lines.unionByName(lines.select(F.lit("  ").alias("value"))).write.text(path)
+    back = tables.read_facts(spark, path, "aggregate_fact_key string, target_name string, vintage int, value double")
+    return back.select("aggregate_fact_key", "target_name", "vintage", F.round(F.col("value") / 1000000, 6).alias("value_m"))
+
+
+@query("""SELECT record_id, round(acctbal, 6) AS acctbal, district, (SELECT count(*) FROM fx_target) AS n_targets FROM fx_record""", "fx_record", "fx_target")
+def frozen_input(spark, sf):
+    """A prepared input that was frozen and read again."""
+    from ..sources import tables
+
+    path, t = _folder(spark, "frozen"), frames.targets(spark, sf)
+    u = frames.universe(spark, sf)
+    tables.freeze({"record": u.tables["record"]}, t, {"targets": t.count()}, path)
+    entities, targets = tables.thaw(spark, path, ["record"])
+    return entities["record"].select("record_id", F.round("acctbal", 6).alias("acctbal"), "district", F.lit(targets.count()).alias("n_targets"))

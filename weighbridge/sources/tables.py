@@ -47,11 +47,11 @@ def dropped(*frames: DataFrame) -> None:
 def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank ones are skipped, broken ones are an error that names them."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    out = lines.select("value", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("fact")).select("value", "fact.*")
+    out = lines.select(F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("fact")).select("fact.*")
     bad = [r[0] for r in out.where("_corrupt_record is not null").select("_corrupt_record").limit(3).collect()]
     if bad:
         raise ValueError(f"broken facts: {bad}")
-    return out.drop("_corrupt_record", "value")
+    return out.drop("_corrupt_record")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
