@@ -63,7 +63,8 @@ class Bucketed:
     def __init__(self, df: DataFrame, buckets: int):
         self.spark = df.sparkSession
         self.name, self.path = f"texts_{uuid.uuid4().hex}", scratch.new_path(self.spark, "texts")
-        df.write.bucketBy(buckets, *_KEY).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        with scratch.shuffles_removed(self.spark):
+            df.write.bucketBy(buckets, *_KEY).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

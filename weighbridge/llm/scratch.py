@@ -7,14 +7,18 @@ and tasks are one process; elsewhere that is an error.  Files are written and de
 by Spark and Hadoop's file system API, so any store that Spark can reach will do.
 
 An operator drops its own tables as soon as nothing reads them; the one that its
-result reads stays until :func:`clear` or until the folder's owner empties it.  No
-setting of the session is changed.
+result reads stays until :func:`clear` or until the folder's owner empties it.  While a
+table is written, Spark is told to remove the job's shuffle files as it ends, since many
+small jobs would fill the disks before the driver's garbage collector lets them go; that
+setting is put back, and no other setting of the session is changed.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside Python, where a null would turn all ids of a batch into floats.
 NO_ID = -(2**63)
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def id_in(name: str) -> Column:
@@ -52,11 +57,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files as they end, which no later job needs; the session's setting is put back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
