@@ -201,3 +201,19 @@ def test_angles_bound_scores():
     for k in range(40):  # a row that scores within the window is never ruled out
         least, most = negatives.windows(ta, na, scores[:, k], scores[:, k], nb[k], nb[k])
         assert negatives.may_meet(ta, least, most, tb[k], tb[k]).all()
+
+
+# ---- repeated ids in operator 1 --------------------------------------------------------------------------------
+
+
+def test_rows_of_one_id_have_one_order_in_small_and_large_tables(spark):
+    from weighbridge.llm import simhash
+
+    texts = [" ".join(RNG.choice("abcdefghij") * 3 for _ in range(20)) for _ in range(6)]
+    rows = [(5, t) for t in texts]
+
+    def seen(others: int) -> dict:
+        docs = spark.createDataFrame([(0, "last of all"), *rows, *[(100 + i, f"text number {i}") for i in range(others)]], "doc_id long, text string")
+        return {r.fingerprint: (r.edited_sha256, r.near_next) for r in simhash.fingerprint_documents(docs).where("doc_id = 5").collect()}
+
+    assert seen(4) == seen(400) and len(seen(4)) == 6
