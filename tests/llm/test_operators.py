@@ -172,9 +172,12 @@ def test_big_balls_that_meet_are_counted_in_blocks(spark):
     assert [got[k].n_links for k in range(len(rows))] == near.sum(axis=1).tolist() and {r.component_id for r in got.values()} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("parts", [1, 24])
+def test_components(spark, parts):
+    """A path, a hub, a cycle, repeated links and links at random, in one partition and in many."""
     rng = random.Random(1)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
+    links += [(2000, k) for k in range(1900, 2100)] + [(k, 3000 + (k - 2999) % 50) for k in range(3000, 3050)] + [(-5, 7000), (7000, -5), (7000, -5), (8, 8)]
     parent = {}
 
     def root(x):
@@ -186,8 +189,17 @@ def test_components(spark):
     for a, b in links:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components.components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()
+        none = components.components(spark.createDataFrame([], "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len({r.node for r in found}) and not none
+    assert {r.node: r.component for r in found} == {x: root(x) for a, b in links if a != b for x in (a, b)}
 
 
 def test_token_files(docs, empty):
