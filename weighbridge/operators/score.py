@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import schemas
+from ..sources.tables import dropped, kept
 from .order_statistics import quantiles
 
 
@@ -68,13 +69,18 @@ def score(diagnostics: DataFrame, run_keys: list[str], are: str = "absolute_rela
 
 
 def weight_diagnostics(weights: DataFrame, run_keys: list[str], runs: DataFrame | None = None) -> DataFrame:
-    """Count, sum, effective sample size, extremes and quantiles of the positive weights of each run; zeros for a run without any."""
-    kept = weights.where("weight > 0")
-    out = kept.groupBy(*run_keys).agg(
+    """Count, sum, effective sample size, extremes and quantiles of the positive weights of each run; zeros for a run without any.
+
+    The weights are written first: they are read in each round of the quantiles.
+    The result is a written table too, a row for each run.
+    """
+    positive = kept(weights.where("weight > 0").select(*run_keys, "weight"), "weights")
+    out = positive.groupBy(*run_keys).agg(
         F.count("*").alias("n_selected"), F.sum("weight").alias("weight_sum"), (F.pow(F.sum("weight"), F.lit(2.0)) / F.sum(F.col("weight") * F.col("weight"))).alias("ess"),
         F.min("weight").alias("min_weight"), F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"))
     names = {"q0": "p50_weight", "q1": "p90_weight", "q2": "p99_weight"}
-    out = out.join(quantiles(kept, run_keys, "weight", [0.5, 0.9, 0.99]).withColumnsRenamed(names), run_keys)
+    out = kept(out.join(quantiles(positive, run_keys, "weight", [0.5, 0.9, 0.99]).withColumnsRenamed(names), run_keys), "weight-diagnostics")
+    dropped(positive)
     if runs is not None:
         out = runs.select(*run_keys).distinct().join(out, run_keys, "left").na.fill(0)
     return out
