@@ -202,6 +202,23 @@ def test_components(spark, parts):
     assert {r.node: r.component for r in found} == {x: root(x) for a, b in links if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch, few):
+    """The same components by rounds and by one task; few links are ended without a round."""
+    rng = random.Random(2)
+    links = [(k, k + 1) for k in range(200)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(500, 501), (501, 500), (9, 9)]
+    rounds = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(1) or star(*a))
+    monkeypatch.setattr(components, "FEW", few)
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    ids = np.array([x for x in links if x[0] != x[1]])
+    low, root = components.stars(ids[:, 0], ids[:, 1])
+    assert found == dict(zip(low.tolist(), root.tolist())) | {r: r for r in root.tolist()} and bool(rounds) == (few == 0)
+    none = components.components(spark.createDataFrame([], "a long, b long"))
+    assert none.columns == ["node", "component"] and not none.count()
+
+
 def test_token_files(docs, empty):
     path = P.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
