@@ -72,3 +72,25 @@ def test_matrix_sums_records_before_targets(spark):
     assert got == {("all", 1): 9.0, ("a", 1): 5.0, ("b", 1): 4.0, ("all", 3): 7.0}
     twice = matrix.constraint_matrix(entity, targets.unionByName(targets.where("target_name = 'b'")))
     assert {r.record_id: r.value for r in twice.where("target_name = 'b'").collect()} == {1: 8.0}
+
+
+def test_estimates_of_many_runs_meet_each_record_once(spark):
+    """More runs than columns of a row, repeated and missing records, weights of 0; what is grouped is as long as the matrix, not times the runs."""
+    from weighbridge.operators import matrix
+
+    n_runs, n = matrix.WIDE + 5, 40
+    rows = [("m", k, i, float((i * 7 + k) % 11)) for k in range(n_runs) for i in range(n) if (i + k) % 3] + [("m", 0, 1, 5.0), ("m", 1, 999, 3.0), (None, 1, 2, 4.0), ("far", 0, 999, 2.0)]
+    cells = [(f"t{i % 4}", i, float(i) - 9.5) for i in range(n)] + [("all", i, 1.0) for i in range(n)]
+    w = spark.createDataFrame(rows, "method string, seed int, record_id long, weight double")
+    m = spark.createDataFrame(cells, "target_name string, record_id long, value double")
+    want = {}
+    for method, seed, i, x in rows:
+        for t, j, v in cells:
+            if i == j:
+                want[method, seed, t] = want.get((method, seed, t), 0.0) + v * x
+    found = matrix.estimates(m, w, ["method", "seed"])
+    got = {(r.method, r.seed, r.target_name): r.achieved_value for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert not matrix.estimates(m, w.limit(0), ["method", "seed"]).count()
+    joined = matrix.estimates(m, w.where("method = 'm' and seed < 8"), ["method", "seed"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (record_id" in joined and joined.count("__w7") > 1
