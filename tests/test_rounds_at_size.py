@@ -94,3 +94,22 @@ def test_estimates_of_many_runs_meet_each_record_once(spark):
     assert not matrix.estimates(m, w.limit(0), ["method", "seed"]).count()
     joined = matrix.estimates(m, w.where("method = 'm' and seed < 8"), ["method", "seed"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (record_id" in joined and joined.count("__w7") > 1
+
+
+def test_a_subset_hashes_its_records_once_and_a_table_is_summed_once(spark, monkeypatch):
+    """The subset is a written table, and rows of a record are read once however many shapes of target there are."""
+    from weighbridge.operators import matrix
+
+    ids = spark.range(100).select(F.col("id").alias("record_id"))
+    found = U.random_subset(ids, 30, 3)
+    u = F.expr(fixtures.SPARK_UNIFORM.format("concat('subset:3:', record_id)"))
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString() and {r[0] for r in found.collect()} == {r[0] for r in ids.orderBy(u, "record_id").limit(30).collect()}
+    assert U.random_subset(ids, 100, 3).count() == 100 == U.random_subset(ids, 999, 3).count()
+
+    names = []
+    monkeypatch.setattr(matrix, "kept", lambda df, name, own=matrix.kept: names.append(name) or own(df, name))
+    orders = spark.createDataFrame([(1, "n", 2.0), (1, "s", 3.0), (2, "n", None), (2, "n", 4.0), (3, "s", 0.0)], "record_id long, place string, total double")
+    record = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "record_id long, w0 double")
+    t = spark.createDataFrame([("all", "order", "total", {}), ("n", "order", "total", {"place": "n"}), ("s", "order", "total", {"place": "s"})], "target_name string, entity string, measure string, filter map<string,string>")
+    built = matrix.constraint_matrix(U.Universe("record", {"record": record, "order": orders}, record), t)
+    assert {tuple(r) for r in built.collect()} == {("all", 1, 5.0), ("all", 2, 4.0), ("n", 1, 2.0), ("n", 2, 4.0), ("s", 1, 3.0)} and names == ["sums"]
