@@ -528,3 +528,26 @@ def test_bounded_sample(spark):
     a, b = learning.bounded_sample(ids, 50, 1), learning.bounded_sample(ids, 50, 1)
     assert a == b and len(set(a)) == 50 and learning.bounded_sample(ids.limit(0), 5, 1) == []
     assert len(learning.bounded_sample(ids, 5000, 1)) == 1000
+
+
+def test_order_minhash_compares_a_pair_once_in_crowded_buckets(spark, monkeypatch):
+    """Texts around one passage share many sketches; neither their rows nor their pairs grow with the pairs of sketches."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    passage = word(90)
+    texts = [" ".join(word(7) + passage + word(7)) for _ in range(24)]
+    texts.append(texts[0] + " end")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, old = {}, order_minhash.scratch.written
+    monkeypatch.setattr(order_minhash.scratch, "written", lambda df, name, *a: seen.setdefault(name, []).append(out := old(df, name, *a)) or out)
+    dropped = order_minhash.scratch.drop
+    monkeypatch.setattr(order_minhash.scratch, "drop", lambda *frames: None)
+    for crowd in (10, 3):  # compared whole, and split
+        seen.clear()
+        got = {r.doc_id: r.group_id for r in order_minhash.near_documents(df, crowd=crowd).collect()}
+        assert got == {k: 0 if k == 24 else k for k in range(25)}
+        pairs = seen["alike"][-1]
+        assert pairs.count() == pairs.distinct().count() > 100
+        if crowd == 10:
+            assert 0 < seen["open-signed"][-1].count() <= 25 * order_minhash.SKETCHES
+        dropped(*[t for tables in seen.values() for t in tables])
